@@ -46,7 +46,11 @@ def event_micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since the epoch for either timestamp type, whatever the session zone."""
     kind = df.schema[ts].dataType
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+        # From the fields, because a cast would go through the session zone.
+        return F.expr(
+            f"unix_date(CAST(`{ts}` AS DATE)) * 86400000000L + hour(`{ts}`) * 3600000000L"
+            f" + minute(`{ts}`) * 60000000L + CAST(extract(SECOND FROM `{ts}`) * 1000000 AS BIGINT)"
+        )
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(F.col(ts))
     if isinstance(kind, T.LongType):

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.flow import port_category, protocol_category
-from flowtide.operators.rolling import destination_features, rolling, source_features
+from flowtide.operators.rolling import destination_features, rolling_by, source_features
 
 CONSUMED = ["ts", "src_port", "dst_port", "protocol"]
 
 
 def add_rolling_features(df: DataFrame, window: str | int = "1s", window_name: str = "1s", ts: str = "ts") -> DataFrame:
     """All ten trailing features: one timeline per source, one per destination."""
-    by_source = rolling(df, "src_ip", source_features(window_name), window, ts)
-    return rolling(by_source, "dst_ip", destination_features(window_name), window, ts)
+    plan = {"src_ip": source_features(window_name), "dst_ip": destination_features(window_name)}
+    return rolling_by(df, plan, window, ts)
 
 
 def add_categories(df: DataFrame, on_unknown: str = "error") -> DataFrame:

@@ -67,29 +67,26 @@ def _value_changes(facts: DataFrame, key: str, columns: Sequence[str], window: i
         .groupBy(key, "__which", "__value", "__us")
         .agg(F.count(F.lit(1)).alias("__copies"))
     )
-    moves = (
-        _spread(
-            seen,
-            window,
-            F.struct(F.col("__us").alias("__pos"), F.col("__copies").alias("__step"), F.lit(0).cast("long").alias("__held")),
-            F.struct(
-                (F.col("__us") + window).alias("__pos"), (-F.col("__copies")).alias("__step"), F.col("__copies").alias("__held")
-            ),
-        )
-        .groupBy(key, "__bucket", "__which", "__value", "__pos")
-        .agg(F.sum("__step").alias("__step"), F.sum("__held").alias("__held"))
+    # Own and moved copies that meet at one position need no merging here: their changes are
+    # summed per position afterwards.
+    moves = _spread(
+        seen,
+        window,
+        F.struct(F.col("__us").alias("__pos"), F.col("__copies").alias("__step"), F.lit(0).cast("long").alias("__held")),
+        F.struct(
+            (F.col("__us") + window).alias("__pos"), (-F.col("__copies")).alias("__step"), F.col("__copies").alias("__held")
+        ),
     )
-    part = Window.partitionBy(key, "__bucket", "__which", "__value")
-    along = part.orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(key, "__bucket", "__which", "__value").orderBy("__pos")
     counted = moves.select(
         key,
         "__bucket",
         "__which",
         "__pos",
-        F.row_number().over(part.orderBy("__pos")).alias("__rank"),
-        F.sum("__held").over(part).alias("__base"),
+        F.row_number().over(along).alias("__rank"),
+        F.sum("__held").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__base"),
         F.col("__step"),
-        F.sum("__step").over(along).alias("__run"),
+        F.sum("__step").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("__run"),
     ).withColumn("__after", F.col("__base") + F.col("__run"))
     before = F.col("__after") - F.col("__step")
     # The first row of a value also brings in what the bucket inherits at its start.
@@ -201,15 +198,24 @@ def rolling_readings(
     return read.select(key, F.col("__pos").alias("__us"), *[feature(f).alias(f.name) for f in features])
 
 
+def rolling_by(
+    df: DataFrame, plan: dict[str, Sequence[Rolling]], window: str | int = "1s", ts: str = "ts"
+) -> DataFrame:
+    """``df`` with the features of every key in ``plan``; null where the key or the time is null.
+
+    All readings are taken from ``df`` itself, so no key's timeline waits for another's join.
+    """
+    out = df.withColumn("__us", event_micros(df, ts))
+    for key, features in plan.items():
+        out = out.join(rolling_readings(df, key, features, window, ts), [key, "__us"], "left")
+    return out.select(*df.columns, *[f.name for features in plan.values() for f in features])
+
+
 def rolling(
     df: DataFrame, key: str, features: Sequence[Rolling], window: str | int = "1s", ts: str = "ts"
 ) -> DataFrame:
-    """``df`` with one column per feature; null where the key or the time is null."""
-    readings = rolling_readings(df, key, features, window, ts)
-    with_time = df.withColumn("__us", event_micros(df, ts))
-    return with_time.join(readings, [key, "__us"], "left").select(
-        *df.columns, *[f.name for f in features]
-    )
+    """``df`` with one column per feature of one key."""
+    return rolling_by(df, {key: features}, window, ts)
 
 
 def rolling_framed(

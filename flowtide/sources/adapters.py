@@ -22,9 +22,7 @@ def _text(column) -> Column:
 def flows(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     number = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    port = F.lit(VIEW_PORTS[-1])
-    for slot, value in reversed(list(enumerate(VIEW_PORTS[:-1]))):
-        port = F.when(number % 12 == slot, F.lit(value)).otherwise(port)
+    port = F.element_at(F.array(*[F.lit(p) for p in VIEW_PORTS]), number % len(VIEW_PORTS) + 1)
     kind = F.col("event_type")
     return events.select(
         F.col("event_id").alias("flow_id"),
