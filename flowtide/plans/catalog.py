@@ -8,6 +8,7 @@ from flowtide.plans.registry import ORACLES, QUERIES, QueryFn
 
 MODULES = [
     "flow_queries",
+    "vote_queries",
 ]
 
 
