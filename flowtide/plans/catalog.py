@@ -9,6 +9,8 @@ from flowtide.plans.registry import ORACLES, QUERIES, QueryFn
 MODULES = [
     "flow_queries",
     "vote_queries",
+    "network_queries",
+    "text_queries",
 ]
 
 
