@@ -90,15 +90,10 @@ class FlowEncoder:
         ]
         return df.select(*kept, *encoded, *scaled)
 
-    def assemble(self, df: DataFrame, out: str = "features", keep: Sequence[str] = ()) -> DataFrame:
-        """``keep`` columns and one feature vector."""
-        wide = self.transform(df)
-        names = self.feature_names()
-        return (
-            VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep")
-            .transform(wide)
-            .select(*keep, out)
-        )
+    def assemble_encoded(self, encoded: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
+        """``keep`` columns and one feature vector of already transformed rows."""
+        assembler = VectorAssembler(inputCols=self.feature_names(), outputCol=out, handleInvalid="keep")
+        return assembler.transform(encoded).select(*keep, out)
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(json.dumps(asdict(self)),)], "document string").write.mode("overwrite").json(path)

@@ -11,6 +11,8 @@ MODULES = [
     "vote_queries",
     "network_queries",
     "text_queries",
+    "stream_queries",
+    "model_queries",
 ]
 
 
