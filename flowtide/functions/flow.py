@@ -62,31 +62,39 @@ def ipv4_or_default(ip: Column, default: str = DEFAULT_IP) -> Column:
     return F.when(F.coalesce(ip, F.lit("")).rlike(rf"\A{octet}(\.{octet}){{3}}\z"), ip).otherwise(F.lit(default))
 
 
-def _filled(match: Column, *names: str) -> Column:
-    """First of the match fields that holds something other than empty text or zero."""
+def _first_text(match: Column, *names: str) -> Column:
+    """First of the match fields that is not empty text."""
+    return F.coalesce(*[F.nullif(match[name], F.lit("")) for name in names])
 
-    def one(name: str) -> Column:
-        value = match[name]
-        number = value.try_cast("double")
-        return F.when((value != "") & (F.coalesce(number, F.lit(1.0)) != 0), value)
 
-    return F.coalesce(*[one(n) for n in names])
+def _first_number(match: Column, *names: str) -> Column:
+    """First of the match fields that reads as a number other than zero."""
+    return F.coalesce(*[F.nullif(match[name].try_cast("double"), F.lit(0.0)) for name in names])
 
 
-def flow_endpoints(match: Column) -> dict[str, Column]:
-    """Addresses, ports and protocol from an OpenFlow 1.0 or 1.3 match document."""
-    protocol = _filled(match, "ip_proto", "nw_proto").try_cast("double").cast("int")
+def match_fields(match: Column) -> dict[str, Column]:
+    """Addresses, ports and protocol number as an OpenFlow 1.0 or 1.3 match document has them."""
+    return {
+        "src_ip": _first_text(match, "ipv4_src", "nw_src"),
+        "src_port": _first_number(match, "tcp_src", "tp_src", "udp_src"),
+        "dst_ip": _first_text(match, "ipv4_dst", "nw_dst"),
+        "dst_port": _first_number(match, "tcp_dst", "tp_dst", "udp_dst"),
+        "protocol": _first_number(match, "ip_proto", "nw_proto").cast("int"),
+    }
+
+
+def flow_endpoints(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: Column, protocol: Column) -> dict[str, Column]:
+    """Match fields with their defaults; ICMP has no ports and is recorded as protocol 0."""
     icmp = F.coalesce(protocol == ICMP_NUMBER, F.lit(False))
 
-    def port(side: str) -> Column:
-        number = _filled(match, f"tcp_{side}", f"tp_{side}", f"udp_{side}").try_cast("double")
+    def port(number: Column) -> Column:
         return F.when(icmp, F.lit(0.0)).otherwise(F.coalesce(number, F.lit(0.0)))
 
     return {
-        "src_ip": ipv4_or_default(_filled(match, "ipv4_src", "nw_src")),
-        "src_port": port("src"),
-        "dst_ip": ipv4_or_default(_filled(match, "ipv4_dst", "nw_dst")),
-        "dst_port": port("dst"),
+        "src_ip": ipv4_or_default(src_ip),
+        "src_port": port(src_port),
+        "dst_ip": ipv4_or_default(dst_ip),
+        "dst_port": port(dst_port),
         "protocol": F.when(icmp, F.lit(0)).otherwise(protocol),
     }
 

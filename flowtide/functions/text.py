@@ -74,11 +74,12 @@ def mine_mentions(
             "__ids": F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
             "__pieces": F.split(F.col(text), pattern, -1),
         }
-    ).where(F.size("__ids") > 0)
+    )
     distinct = F.array_distinct("__ids")
     chosen = distinct if limit is None else F.slice(distinct, 1, limit)
     mentions = (
-        matched.select("*", F.posexplode(chosen).alias("ordinal", "mention"))
+        matched.select("*", F.posexplode_outer(chosen).alias("ordinal", "mention"))
+        .where(F.col("mention").isNotNull())
         .withColumn("__at", F.array_position("__ids", F.col("mention")).cast("int"))
         .withColumn(
             "start",
@@ -303,7 +304,7 @@ def chunk_text(df: DataFrame, text: str, keep: list[str], size: int = 500, overl
     starts = F.sequence(F.lit(0), last)
     return df.where(F.length(text) > 0).select(
         *keep,
-        F.posexplode(F.transform(starts, lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))).alias("chunk_no", "chunk"),
+        F.posexplode_outer(F.transform(starts, lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))).alias("chunk_no", "chunk"),
     )
 
 

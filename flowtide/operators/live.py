@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.functions.flow import flow_endpoints, flow_rates
+from flowtide.functions.flow import flow_endpoints, flow_rates, match_fields
 from flowtide.operators.rules import rule_key
 from flowtide.session import path_exists
 from flowtide.sources.files import explode_polls
@@ -23,11 +23,12 @@ def ipv4_only(entries: DataFrame) -> DataFrame:
 
 def normalise_entries(entries: DataFrame, keep: list[str]) -> DataFrame:
     """Addresses, ports, protocol, duration and rates of each entry."""
-    endpoints = flow_endpoints(F.col("entry.match"))
-    rates = flow_rates(
-        F.col("entry.duration_sec"), F.col("entry.duration_nsec"), F.col("entry.byte_count"), F.col("entry.packet_count")
-    )
-    return entries.select(*keep, *[c.alias(n) for n, c in {**endpoints, **rates}.items()])
+    counters = ["duration_sec", "duration_nsec", "byte_count", "packet_count"]
+    fields = match_fields(F.col("entry.match"))
+    read = entries.select(*keep, *[c.alias(n) for n, c in fields.items()], *[F.col(f"entry.{c}") for c in counters])
+    endpoints = flow_endpoints(*[F.col(n) for n in fields])
+    rates = flow_rates(*[F.col(c) for c in counters])
+    return read.select(*keep, *[c.alias(n) for n, c in {**endpoints, **rates}.items()])
 
 
 def live_flows(polls: DataFrame, column: str = "raw_json", keep: tuple[str, ...] = (), now: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.text import default_search_url, strip
+from flowtide.session import materialize
 
 # A word must be longer than this to match a title, and rows kept per query.
 SHORT_WORD = 3
@@ -25,7 +26,7 @@ def union_results(parts: Sequence[DataFrame]) -> DataFrame:
 
 def parse_blocks(df: DataFrame, block: str, order: Sequence[str]) -> DataFrame:
     """One row per result in the text: lower-case title, url, and its place in the input."""
-    results = df.select(*order, F.posexplode(F.split(F.col(block), "\n\n")).alias("__pos", "__result"))
+    results = df.select(*order, F.posexplode_outer(F.split(F.col(block), "\n\n")).alias("__pos", "__result"))
     lines = F.split(strip(F.col("__result")), "\n")
 
     def last_value(prefix: str) -> Column:
@@ -43,47 +44,60 @@ def title_map(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("title").agg(F.max_by("url", "place").alias("url"), F.min("place").alias("first_seen"))
 
 
+def _in_order(titles: DataFrame) -> DataFrame:
+    """Titles with a number that grows with the place first seen, written once: the numbers
+    come from a range partitioning and must not change between uses."""
+    placed = titles.repartitionByRange("first_seen").sortWithinPartitions("first_seen")
+    return materialize(placed.select("title", "url", F.monotonically_increasing_id().alias("ord")), "titles")
+
+
+def _pieces(text: Column, lengths: Sequence[int]) -> Column:
+    """All substrings of the given lengths."""
+    none = F.slice(F.array(F.lit("")), 1, 0)
+
+    def cut(n: int) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
+        return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))), none)
+
+    return F.flatten(F.array(*[cut(n) for n in lengths])) if lengths else none
+
+
 def match_urls(names: DataFrame, titles: DataFrame) -> DataFrame:
     """(name, url): the title equal to the name; else the first title that holds one of its
     longer words, or the whole name with blanks removed on both sides; else a search address.
 
-    Titles are cut into their substrings of just the lengths that are looked for and reduced
-    to one first place per substring, so matching is an equi-join with one partner per needle.
+    A word lies inside one word of a title, so title words are first reduced to distinct ones
+    with their earliest title; likewise titles without blanks. Those are cut into substrings
+    of just the lengths looked for, again reduced to the earliest title each, so matching is an
+    equi-join with one partner per needle however many titles hold it.
     """
+    ordered = _in_order(titles)
     wanted = names.select("name").where(F.col("name").isNotNull()).distinct().withColumn("__low", F.lower("name"))
-    exact = wanted.join(titles.select(F.col("title").alias("__low"), F.col("url").alias("__exact")), "__low", "left")
+    exact = wanted.join(ordered.select(F.col("title").alias("__low"), F.col("url").alias("__exact")), "__low", "left")
 
     words = F.transform(
         F.filter(F.split("__low", r"\s+"), lambda w: F.length(w) > SHORT_WORD),
         lambda w: F.struct(F.lit(0).alias("kind"), w.alias("needle")),
     )
     joined = F.struct(F.lit(1).alias("kind"), F.replace("__low", F.lit(" "), F.lit("")).alias("needle"))
-    needles = wanted.select("name", F.inline(F.array_append(words, joined))).where(F.col("needle") != "").distinct()
+    needles = wanted.select("name", F.inline_outer(F.array_append(words, joined))).where(F.col("needle") != "").distinct()
     # One number per distinct needle length: as many as the longest name is long.
-    lengths = [
-        (r["kind"], r["n"]) for r in needles.select("kind", F.length("needle").alias("n")).distinct().collect()
-    ]
-    if not lengths:
-        return exact.select("name", F.coalesce("__exact", default_search_url(F.col("name"))).alias("url"))
-    texts = {0: F.col("title"), 1: F.replace("title", F.lit(" "), F.lit(""))}
-
-    def cuts(kind: int, n: int) -> Column:
-        text = texts[kind]
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
-        pieces = F.transform(
-            starts, lambda i: F.struct(F.lit(kind).alias("kind"), F.substring(text, i, F.lit(n)).alias("needle"))
-        )
-        return F.coalesce(pieces, F.slice(F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("needle"))), 1, 0))
-
-    found = (
-        titles.select("url", "first_seen", F.inline(F.flatten(F.array(*[cuts(*pair) for pair in lengths]))))
-        .groupBy("kind", "needle")
-        .agg(F.min_by("url", "first_seen").alias("url"), F.min("first_seen").alias("first_seen"))
-    )
+    found_lengths = needles.select("kind", F.length("needle").alias("n")).distinct().collect()
+    lengths = {kind: sorted(r["n"] for r in found_lengths if r["kind"] == kind) for kind in (0, 1)}
+
+    texts = {0: F.explode_outer(F.split("title", r"\s+")), 1: F.replace("title", F.lit(" "), F.lit(""))}
+    cut = None
+    for kind, text in texts.items():
+        distinct = ordered.select("ord", text.alias("__text")).groupBy("__text").agg(F.min("ord").alias("ord"))
+        pieces = distinct.select("ord", F.lit(kind).alias("kind"), F.explode_outer(_pieces(F.col("__text"), lengths[kind])).alias("needle"))
+        cut = pieces if cut is None else cut.unionByName(pieces)
+    earliest = cut.groupBy("kind", "needle").agg(F.min("ord").alias("ord"))
     partial = (
-        needles.join(found, ["kind", "needle"])
+        needles.join(earliest, ["kind", "needle"])
         .groupBy("name")
-        .agg(F.min_by("url", "first_seen").alias("__partial"))
+        .agg(F.min("ord").alias("ord"))
+        .join(ordered.select("ord", F.col("url").alias("__partial")), "ord")
+        .drop("ord")
     )
     return exact.join(partial, "name", "left").select(
         "name", F.coalesce("__exact", "__partial", default_search_url(F.col("name"))).alias("url")

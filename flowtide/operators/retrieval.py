@@ -50,7 +50,7 @@ def hashed_terms(df: DataFrame, text: str, width: int = 256, out: str = "embeddi
     words = df.withColumn("__words", F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != ""))
     counted = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=width).transform(words)
     unit = Normalizer(inputCol="__tf", outputCol="__unit").transform(counted)
-    return unit.withColumn(out, vector_to_array("__unit")).drop("__words", "__tf", "__unit")
+    return unit.withColumn(out, vector_to_array("__unit", dtype="float32")).drop("__words", "__tf", "__unit")
 
 
 def evaluation_rows(votes: DataFrame, scored: DataFrame, row_id: str, voters: Sequence[str] = VOTERS) -> DataFrame:

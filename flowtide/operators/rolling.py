@@ -46,7 +46,7 @@ class Rolling:
 
 def _spread(rows: DataFrame, window: int, own: Column, moved: Column) -> DataFrame:
     """Each row once in its own bucket and once, moved by the window, in the next."""
-    return rows.select("*", F.inline(F.array(own, moved))).withColumn(
+    return rows.select("*", F.inline_outer(F.array(own, moved))).withColumn(
         "__bucket", F.col("__pos") - F.pmod(F.col("__pos"), F.lit(window))
     )
 
@@ -62,7 +62,7 @@ def _value_changes(facts: DataFrame, key: str, columns: Sequence[str], window: i
         *[F.struct(F.lit(i).alias("__which"), F.col(c).cast("string").alias("__value")) for i, c in enumerate(columns)]
     )
     seen = (
-        facts.select(key, "__us", F.inline(tagged))
+        facts.select(key, "__us", F.inline_outer(tagged))
         .where(F.col("__value").isNotNull())
         .groupBy(key, "__which", "__value", "__us")
         .agg(F.count(F.lit(1)).alias("__copies"))
@@ -105,7 +105,7 @@ def _value_changes(facts: DataFrame, key: str, columns: Sequence[str], window: i
         key,
         "__bucket",
         "__which",
-        F.inline(F.when(first, F.array(entering, change)).otherwise(F.array(change))),
+        F.inline_outer(F.when(first, F.array(entering, change)).otherwise(F.array(change))),
     ).where((F.col("__kinds") != 0) | (F.col("__cost") != 0))
 
 
@@ -239,7 +239,7 @@ def rolling_framed(
     copied = (
         df.withColumn("__us", us)
         .where(F.col(key).isNotNull() & F.col("__us").isNotNull())
-        .withColumn("__bucket", F.explode(F.array(own, own + w)))
+        .withColumn("__bucket", F.explode_outer(F.array(own, own + w)))
         .withColumns({name: agg.over(frame) for name, agg in aggregates.items()})
         .where(F.col("__bucket") == own)
         .drop("__us", "__bucket")

@@ -201,7 +201,8 @@ def parse_responses(df: DataFrame, response_id: str, output: str, fallback: bool
     )
     rows = df.select(response_id, mined.alias("__mined"), standard.alias("__standard"))
     chosen = F.when(F.size("__mined") > 0, F.col("__mined")).otherwise(F.col("__standard")) if fallback else F.col("__mined")
-    return rows.select(response_id, F.inline(chosen))
+    # The outer form keeps the mined arrays from being computed twice, once for a size filter.
+    return rows.select(response_id, F.inline_outer(chosen)).where(F.col("command_type").isNotNull())
 
 
 def without_response(df: DataFrame, keep: list[str], src_ip: Column, dpid: int = 1) -> DataFrame:

@@ -65,7 +65,7 @@ def fallback_products(df: DataFrame, product_query: str) -> DataFrame:
 def json_products(df: DataFrame, answer: str, keep: Sequence[str]) -> DataFrame:
     """Products of fenced JSON answers, one per row; an unreadable answer yields none."""
     parsed = F.from_json(strip_code_fence(F.col(answer)), PRODUCT_LIST_SCHEMA)
-    return df.select(*keep, F.inline(parsed))
+    return df.select(*keep, F.inline_outer(parsed)).where(F.col("name").isNotNull())
 
 
 def preview(df: DataFrame, group: str, value: str, order: Sequence[Column], n: int = PREVIEW) -> DataFrame:

@@ -341,9 +341,9 @@ def knowledge_append(spark, folder):
     for part in (documents.where(F.col("lang") == "en"), documents.where(F.col("lang") != "en")):
         knowledge.add_knowledge(part, "text", "doc_id", path)
     stored = knowledge.load_knowledge(spark, path)
-    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x)
+    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     # A chunk without any word has no direction and stays all zeros.
-    length = F.when(square > 0, F.round(F.sqrt(square), 6)).otherwise(F.lit(1.0))
+    length = F.when(square > 0, F.round(F.sqrt(square), 4)).otherwise(F.lit(1.0))
     return stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(length).alias("norm"))
 
 

@@ -63,8 +63,11 @@ def scan_polls(spark: SparkSession, path: str) -> DataFrame:
 def explode_polls(polls: DataFrame, column: str = "raw_json", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per (switch, flow entry); a document that does not parse yields none."""
     parsed = polls.select(*keep, F.from_json(F.col(column), FLOW_POLL_SCHEMA).alias("poll"))
-    by_switch = parsed.select(*keep, F.explode("poll").alias("dpid", "entries"))
-    return by_switch.select(*keep, F.col("dpid").cast("long").alias("dpid"), F.explode("entries").alias("entry"))
+    # The outer forms keep Spark from testing the size of the parsed document in a filter of its
+    # own, which would parse every document again.
+    by_switch = parsed.select(*keep, F.explode_outer("poll").alias("dpid", "entries"))
+    entries = by_switch.select(*keep, F.col("dpid").cast("long").alias("dpid"), F.explode_outer("entries").alias("entry"))
+    return entries.where(F.col("entry").isNotNull())
 
 
 def bad_polls(polls: DataFrame, column: str = "raw_json") -> DataFrame:

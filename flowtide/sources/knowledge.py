@@ -61,7 +61,9 @@ def chunk_at_separators(
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _packed(t, size, overlap), na_action="ignore")
 
-    return df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(cut(F.col(text))).alias("chunk_no", "chunk"))
+    return df.where(F.col(text).isNotNull()).select(*keep, F.posexplode_outer(cut(F.col(text))).alias("chunk_no", "chunk")).where(
+        F.col("chunk").isNotNull()
+    )
 
 
 def add_knowledge(
@@ -74,12 +76,15 @@ def add_knowledge(
     """Chunk, embed, normalise and append. ``embed`` adds ``embedding`` to rows with ``chunk``;
     the offline default hashes words."""
     chunks = chunk_text(df, text, [doc_id])
-    vectors = embed(chunks) if embed else hashed_terms(chunks, "chunk")
+    if embed:
+        vectors = embed(chunks).withColumn("embedding", l2_normalize(F.col("embedding")))
+    else:
+        vectors = hashed_terms(chunks, "chunk")  # already at unit length
     vectors.select(
         F.col(doc_id),
         F.sha2(F.concat_ws(":", F.col(doc_id).cast("string"), F.col("chunk_no").cast("string")), 256).alias("chunk_id"),
         "chunk",
-        l2_normalize(F.col("embedding")).alias("embedding"),
+        "embedding",
     ).write.mode("append").parquet(path)
 
 
