@@ -31,7 +31,7 @@ def parse_blocks(df: DataFrame, block: str, order: Sequence[str]) -> DataFrame:
 
     def last_value(prefix: str) -> Column:
         found = F.filter(lines, lambda line: F.startswith(line, F.lit(prefix)))
-        return strip(F.replace(F.element_at(found, -1), F.lit(prefix), F.lit("")))
+        return strip(F.replace(F.try_element_at(found, F.lit(-1)), F.lit(prefix), F.lit("")))
 
     parsed = results.select(
         F.struct(*order, F.col("__pos")).alias("place"), last_value("Title: ").alias("title"), last_value("URL: ").alias("url")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.operators.segments import running_sums
@@ -142,11 +142,12 @@ def pr_curve(df: DataFrame, cls: str, score: str, positive: str, bins: int | Non
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced class weights ``n / (k * n_c)``."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(F.lit(1))  # over one row per class
-    return counts.select(
-        "label",
-        "n",
-        (F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias("weight"),
+    # One row per class, gathered into one array to meet the totals.
+    gathered = counts.agg(
+        F.collect_list(F.struct("label", "n")).alias("classes"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")
+    )
+    return gathered.select(F.inline("classes"), "total", "k").select(
+        "label", "n", (F.col("total") / (F.col("k") * F.col("n"))).alias("weight")
     )
 
 

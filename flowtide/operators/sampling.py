@@ -52,27 +52,32 @@ def exact_sample(
 ) -> DataFrame:
     """Exactly ``n`` rows (or ``round(fraction * rows)``): those with the smallest hashes.
 
-    The hash prefix that holds the n-th row is found from at most 65,536 counts. Rows of
-    smaller prefixes pass as they are; only that one prefix, 1/65,536 of the rows, is ranked.
+    The hash prefix that holds the n-th row is found from at most 65,536 counts, and the same
+    is done once more inside it. Rows of smaller prefixes pass as they are; only the rows of
+    the last prefix, one in four billion, are ranked.
     """
-    prefix = F.substring(hash_key(row_id, seed), 1, _PREFIX_DIGITS)
-    sizes = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    total = sum(r["n"] for r in sizes)
-    if n is None:
-        if fraction is None:
-            raise ValueError("give n or fraction")
-        n = round(total * fraction)
-    if n >= total:
-        return df
-    taken = 0
-    for row in sizes:
-        if taken + row["n"] >= n:
-            break
-        taken += row["n"]
-    boundary, rest = row["p"], n - taken
-    sure = df.where(prefix < boundary)
-    edge = df.where(prefix == boundary).orderBy(hash_key(row_id, seed), row_id).limit(rest)
-    return sure.unionByName(edge)
+    digest = hash_key(row_id, seed)
+    parts = [F.substring(digest, 1 + i * _PREFIX_DIGITS, _PREFIX_DIGITS) for i in range(2)]
+    out, inside = None, F.lit(True)
+    for part in parts:
+        sizes = df.where(inside).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+        if out is None:
+            total = sum(r["n"] for r in sizes)
+            if n is None:
+                if fraction is None:
+                    raise ValueError("give n or fraction")
+                n = round(total * fraction)
+            if n >= total:
+                return df
+            left = n
+        for row in sizes:
+            if row["n"] >= left:
+                break
+            left -= row["n"]
+        sure = df.where(inside & (part < row["p"]))
+        out = sure if out is None else out.unionByName(sure)
+        inside = inside & (part == row["p"])
+    return out.unionByName(df.where(inside).orderBy(digest, row_id).limit(left))
 
 
 def exact_split(
@@ -95,7 +100,7 @@ def stratified_folds(
     numbered = ranked(
         keyed,
         [label],
-        F.substring("__digest", 1, 3),
+        F.substring("__digest", 1, _PREFIX_DIGITS),
         [F.col("__digest"), F.col(row_id)],
         out="__rank",
     )

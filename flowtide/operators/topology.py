@@ -41,15 +41,10 @@ def host_ports(ports: DataFrame, switches: DataFrame) -> DataFrame:
         .join(known, "dpid", "left_semi")
         .select("dpid", "port_no", "port_name", infer_host_ip(F.col("dpid"), p).alias("ipv4"))
     )
-    defaults = (
-        ports.sparkSession.createDataFrame(DEFAULT_HOSTS, "dpid long, port_no long, ipv4 string")
-        .withColumn("port_name", F.lit(None).cast("string"))
-        .join(known, "dpid", "left_semi")
-        .withColumn("__any", F.lit(1))
-        .join(discovered.select(F.lit(1).alias("__any")).limit(1), "__any", "left_anti")
-        .drop("__any")
-    )
-    hosts = discovered.unionByName(defaults.select("dpid", "port_no", "port_name", "ipv4")).withColumn("__all", F.lit(1))
+    if discovered.isEmpty():
+        defaults = ports.sparkSession.createDataFrame(DEFAULT_HOSTS, "dpid long, port_no long, ipv4 string")
+        discovered = defaults.join(known, "dpid", "left_semi").withColumn("port_name", F.lit(None).cast("string"))
+    hosts = discovered.withColumn("__all", F.lit(1))
     numbered = ranked(hosts, ["__all"], F.col("dpid"), [F.col("dpid"), F.col("port_no"), F.col("port_name")], "n")
     return numbered.select(
         "dpid", "port_no", "ipv4", F.concat(F.lit("00:00:00:00:00:0"), _text(F.col("n"))).alias("mac")
