@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.functions.flow import flow_endpoints, flow_rates, match_fields
@@ -49,3 +49,8 @@ def append_rules(rules: DataFrame, path: str) -> None:
         stored = spark.read.parquet(path).select("rule_key")
         fresh = fresh.join(stored, "rule_key", "left_anti")
     fresh.write.mode("append").parquet(path)
+
+
+def reset_rules(spark: SparkSession, path: str, schema) -> None:
+    """Start the rule table afresh, empty."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

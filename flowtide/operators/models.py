@@ -195,3 +195,18 @@ def search_knn(
             found.unpersist()
     ranked = [(k, m, sum(s) / len(s)) for (k, m), s in scores.items()]
     return sorted(ranked, key=lambda r: (-r[2], r[0], r[1]))
+
+
+def best_of_folds(
+    train: DataFrame, row_id: str, folds: int, fit: Callable[[DataFrame], Model], metric: str = "f1"
+) -> tuple[Model, float]:
+    """Fit a fresh model per stratified fold and keep the one that scores best on its own
+    held-out fold."""
+    folded = stratified_folds(train, "target", row_id, folds)
+    best: tuple[Model, float] | None = None
+    for fold in range(folds):
+        model = fit(folded.where(F.col("fold") != fold).drop("fold"))
+        score = evaluator(metric).evaluate(model.transform(folded.where(F.col("fold") == fold)))
+        if best is None or score > best[1]:
+            best = (model, score)
+    return best

@@ -22,6 +22,13 @@ def memory_candidates(predictions: DataFrame, truths: DataFrame, row_id: str, tr
     return correct.select(row_id, truth).orderBy(row_id).limit(limit)
 
 
+def mitigation_memory(threats: DataFrame, mitigations: DataFrame, row_id: str, limit: int = MEMORY_LIMIT) -> DataFrame:
+    """The first ``limit`` threats by id with the mitigation known to have worked, if any; only
+    those with one are remembered (``remember`` is true)."""
+    first = threats.orderBy(row_id).limit(limit)
+    return first.join(mitigations, row_id, "left").withColumn("remember", F.col("mitigation").isNotNull())
+
+
 def resolve_low_agreement(
     undecided: DataFrame, memory: DataFrame, row_id: str, label: str, k: int = RETRIEVED, vector: str = "embedding"
 ) -> DataFrame:

@@ -204,6 +204,20 @@ def memory_candidates(spark, folder):
     return retrieval.memory_candidates(votes.select("row_id", F.col("knn").alias("prediction")), votes.select("row_id", "truth"), "row_id", "truth")
 
 
+@query(
+    "mitigation_memory",
+    """WITH t AS (SELECT flow_id, label FROM flows WHERE label <> 'Benign' ORDER BY flow_id LIMIT 25)
+       SELECT flow_id, label, CASE WHEN flow_id % 3 = 0 THEN 'blocked at source' ELSE '-' END AS mitigation, flow_id % 3 = 0 AS remember FROM t""",
+    "flows",
+)
+def mitigation_memory(spark, folder):
+    """Threats with the mitigation recorded for the same sample."""
+    threats = adapters.flows(spark, folder).where(F.col("label") != "Benign").select("flow_id", "label")
+    worked = threats.where(F.col("flow_id") % 3 == 0).select("flow_id", F.lit("blocked at source").alias("mitigation"))
+    out = retrieval.mitigation_memory(threats, worked, "flow_id")
+    return out.withColumn("mitigation", F.coalesce("mitigation", F.lit("-")))
+
+
 @query(
     "label_except",
     """SELECT row_id, (SELECT string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FROM (SELECT DISTINCT truth AS c FROM votes) k
