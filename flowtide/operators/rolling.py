@@ -149,27 +149,25 @@ def rolling_readings(
             "__bucket", F.col("__pos") - F.pmod(F.col("__pos"), F.lit(w))
         )
     timeline = placed_ticks.select(key, "__bucket", *kept_columns)
-    changes = []
     if value_columns:
-        steps = _value_changes(facts, key, value_columns, w)
+        changes = []
         for i in range(len(value_columns)):
             here = F.col("__which") == i
             changes += [
-                F.when(here, F.col("__kinds")).otherwise(0).cast("long").alias(f"__own_k{i}"),
-                F.when(here, F.col("__cost")).otherwise(0.0).alias(f"__own_e{i}"),
+                F.sum(F.when(here, F.col("__kinds")).otherwise(0).cast("long")).alias(f"__own_k{i}"),
+                F.sum(F.when(here, F.col("__cost")).otherwise(0.0)).alias(f"__own_e{i}"),
             ]
-        timeline = timeline.unionByName(
-            steps.select(key, "__bucket", "__pos", *changes), allowMissingColumns=True
-        )
+        # All changes at one position become one row, however many values change there.
+        steps = _value_changes(facts, key, value_columns, w).groupBy(key, "__bucket", "__pos").agg(*changes)
+        timeline = timeline.unionByName(steps.withColumn("__probe", F.lit(0)), allowMissingColumns=True)
     own = [c for c in timeline.columns if c.startswith("__own_")]
     old = [c for c in timeline.columns if c.startswith("__old_")]
-    timeline = timeline.groupBy(key, "__bucket", "__pos").agg(
-        F.max("__probe").alias("__probe"), *[F.sum(c).alias(c) for c in [*own, *old]]
-    )
 
+    # At one position the reading row comes after the changes and before (in the backward
+    # order, first of all) the rows that leave the frame there.
     bucket = Window.partitionBy(key, "__bucket")
-    upto = bucket.orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    later = bucket.orderBy(F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    upto = bucket.orderBy("__pos", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    later = bucket.orderBy(F.col("__pos").desc(), F.col("__probe").desc()).rowsBetween(Window.unboundedPreceding, -1)
     read = timeline.withColumns({c: F.sum(c).over(upto) for c in own})
     if old:
         read = read.withColumns({c: F.sum(c).over(later) for c in old})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Voter order (it breaks ties) and the recorded constant confidences.
+# Voter order (it breaks ties), recorded constant confidences, displayed names.
 VOTERS = ["rfc", "xgb", "mlp", "knn"]
 MALICIOUS_CONFIDENCE = 90.0
 BENIGN_CONFIDENCE = 95.0
@@ -15,6 +15,9 @@ FIRST_VOTER_CONFIDENCE = 85.0
 VOTER_CONFIDENCE_STEP = 2.0
 RESOLVER_CONFIDENCE = 88.0
 FALLBACK_CONFIDENCE = 95.0
+DETECTOR_NAME = "Pre-Detection"
+RESOLVER_NAME = "LLM Agent"
+FALLBACK_NAME = "Network Agent System"
 
 
 def hard_vote(df: DataFrame, voters: Sequence[str] = VOTERS) -> DataFrame:
@@ -91,12 +94,12 @@ def result_document(
 def classifier_list(result: Column) -> Column:
     """The report's voter list: pre-detection first, then voters, then the resolver if used."""
     before = F.struct(
-        F.lit("Pre-Detection").alias("name"),
+        F.lit(DETECTOR_NAME).alias("name"),
         result["pre_detection"]["prediction"].alias("prediction"),
         result["pre_detection"]["confidence"].alias("confidence"),
     )
     resolver = F.struct(
-        F.lit("LLM Agent").alias("name"),
+        F.lit(RESOLVER_NAME).alias("name"),
         result["final_prediction"].alias("prediction"),
         F.lit(RESOLVER_CONFIDENCE).alias("confidence"),
     )
@@ -107,7 +110,7 @@ def classifier_list(result: Column) -> Column:
     )
     fallback = F.array(
         F.struct(
-            F.lit("Network Agent System").alias("name"),
+            F.lit(FALLBACK_NAME).alias("name"),
             result["final_prediction"].alias("prediction"),
             F.lit(FALLBACK_CONFIDENCE).alias("confidence"),
         )
