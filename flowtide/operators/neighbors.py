@@ -114,7 +114,6 @@ def nearest(
     owner = np.repeat(np.arange(len(cells)), [len(summary[c]["ds"]) for c in cells])
     inner = np.concatenate([np.asarray(summary[c]["ds"]) for c in cells])
     blocks = max(1, -(-left.count() // chunk_rows))
-    total_chunks = int(chunks.sum())
     first_chunk = np.concatenate([[0], np.cumsum(chunks)[:-1]])
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +182,6 @@ def nearest(
     )
     if unit:
         out = out.withColumn("similarity", 1.0 - F.col("distance") * F.col("distance") / 2.0)
-    assert total_chunks >= 1
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.timing import event_micros
 from flowtide.operators.rules import host_name
-from flowtide.operators.segments import last_known, ranked
+from flowtide.operators.segments import even_cuts, last_known, ranked
 
 # The switch-local port, default hosts, reply for an unknown destination.
 LOCAL_PORT = 4294967294
@@ -147,18 +147,19 @@ def mac_table(packets: DataFrame) -> DataFrame:
     return packets.groupBy("dpid", "src").agg(F.max_by("in_port", seen).alias("port"))
 
 
-def asof_forwarding(packets: DataFrame, segment_micros: int = 3_600_000_000) -> DataFrame:
+def asof_forwarding(packets: DataFrame, segments: int = 256) -> DataFrame:
     """Output port of each packet: where its destination was last seen at or before it, on the
     same switch, counting the packet's own source first; FLOOD when never seen."""
     packets = _forwarded(packets)
-    us = event_micros(packets, "ts")
+    timed = packets.select("packet_id", "dpid", "src", "dst", "in_port", event_micros(packets, "ts").alias("us"))
+    cut = even_cuts(timed, "us", segments)
     observed = F.struct(F.col("src").alias("addr"), F.lit(0).alias("kind"), F.col("in_port").alias("port"))
     asked = F.struct(F.col("dst").alias("addr"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("port"))
-    both = packets.select("packet_id", "dpid", us.alias("us"), F.inline(F.array(observed, asked)))
+    both = cut.select("packet_id", "dpid", "us", "__cut", F.inline_outer(F.array(observed, asked)))
     answered = last_known(
         both,
         ["dpid", "addr"],
-        F.floor(F.col("us") / segment_micros),
+        F.col("__cut"),
         [F.col("us"), F.col("packet_id"), F.col("kind")],
         "port",
         "out_port",

@@ -436,9 +436,8 @@ def inference_features(spark, folder):
 def row_ids(spark, folder):
     flows = adapters.flows(spark, folder)
     keyed = flows.select("flow_id", "src_ip", event_micros(flows, "ts").alias("us"))
-    numbered = segments.ranked(
-        keyed, ["src_ip"], F.floor(F.col("us") / 86_400_000_000), [F.col("us"), F.col("flow_id")], out="idx"
-    )
+    cut = segments.even_cuts(keyed, "us", 32)
+    numbered = segments.ranked(cut, ["src_ip"], F.col("__cut"), [F.col("us"), F.col("flow_id")], out="idx")
     return numbered.select("flow_id", "idx")
 
 

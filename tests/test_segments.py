@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowtide.operators import sampling
-from flowtide.operators.segments import last_known, ranked, running_sums
+from flowtide.operators.segments import even_cuts, last_known, ranked, running_sums
 
 ROWS = [(i, "hot" if i % 3 else (None if i % 2 else f"k{i % 5}"), (i * 37) % 101, (i % 4) or None) for i in range(600)]
 SCHEMA = "id int, key string, t int, v int"
@@ -23,6 +23,18 @@ def test_ranked(spark):
     assert by_id(cut, "rn") == by_id(plain, "rn")
 
 
+def test_even_cuts(spark):
+    """A third of the rows crowd into one narrow stretch; nulls and ties are kept."""
+    rows = [(i, "k", 50 + i % 7 if i % 3 else i * 13, 1) for i in range(600)] + [(900, "k", None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cut = even_cuts(df, "t", 16)
+    assert cut.groupBy("__cut").count().count() > 8
+    plain = df.where("t IS NOT NULL").withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("t", "id")))
+    got = ranked(cut.where("t IS NOT NULL"), ["key"], F.col("__cut"), [F.col("t"), F.col("id")])
+    assert by_id(got, "rn") == by_id(plain, "rn")
+    assert even_cuts(df.where("id < 0"), "t").count() == 0
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     upto = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
