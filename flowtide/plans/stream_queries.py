@@ -28,6 +28,11 @@ def _landed_flows(spark, folder, parts=3):
     return spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
 
 
+def _utc(flows):
+    """Wall-clock times as instants in UTC, whatever the session zone."""
+    return flows.withColumn("ts", F.timestamp_micros(event_micros(flows, "ts")))
+
+
 @query(
     "stream_flows",
     f"""SELECT flow_id % 3 + 1 AS dpid, coalesce(s4, sn) AS src_ip, CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN secs > 0 THEN bytes / secs ELSE 0 END), 4) AS bytes_s
@@ -76,7 +81,7 @@ def stream_rolling(spark, folder):
 )
 def stream_rates(spark, folder):
     """Hourly rates of the windows that are final when the stream ends."""
-    flows = _landed_flows(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    flows = _utc(_landed_flows(spark, folder))
     out = fresh_path(spark, "rates")
     rates = streams.rates(flows, "src_ip", "1 hour", "10 minutes")
     streams.write_stream(rates, out, fresh_path(spark, "rates-log")).awaitTermination()
@@ -93,7 +98,7 @@ def stream_rates(spark, folder):
 )
 def stream_rules(spark, folder):
     """Rules from streamed predictions, stateful duplicate removal, idempotent storage."""
-    flows = _landed_flows(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    flows = _utc(_landed_flows(spark, folder))
     path = fresh_path(spark, "stream-rules")
     made = rules.rules_from_predictions(flows, ["ts"], "label", dpid=2)
     unique = streams.unique_rules(made, "ts", "1 hour")
