@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtide.functions.vectors import argmax
-from flowtide.operators import encoding, live, models, sampling, voting
+from flowtide.operators import encoding, live, models, voting
 from flowtide.operators.features import add_categories
 from flowtide.plans import inference
 from flowtide.plans.registry import query
