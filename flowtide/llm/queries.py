@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowtide.llm.kd_sharding import shard_documents
+from flowtide.llm.minhash import near_duplicates
 from flowtide.llm.quality_rules import quality_report
 from flowtide.plans.registry import QueryFn
 from flowtide.session import table
@@ -28,6 +29,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"))
 
 
+@query("op8_minhash_dedup")
+def op8_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op10_kd_sharding")
 def op10_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), 8)
