@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowtide.llm import decontamination
 from flowtide.llm.kd_sharding import shard_documents
+from flowtide.llm.language_kernel import languages
 from flowtide.llm.minhash import near_duplicates
 from flowtide.llm.quality_rules import quality_report
 from flowtide.plans.registry import QueryFn
@@ -24,6 +27,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_decontamination", decontamination.SQL)
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op5_language_kernel")
+def op5_language_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(table(spark, folder, "documents"))
+
+
 @query("op7_quality_rules")
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"))
