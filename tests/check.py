@@ -32,7 +32,11 @@ def difference(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
     if len(left) != len(right):
         return f"rows {len(left)} != {len(right)}"
     columns = sorted(left.columns)
+    left = left.copy()
     for c in columns:
+        # pandas turns whole numbers with nulls into floats
+        if left[c].dtype.kind == "f" and right[c].dtype.kind in "iu" and (left[c].dropna() % 1 == 0).all():
+            left[c] = left[c].astype("Int64")
         a, b = str(left[c].dtype), str(right[c].dtype)
         if _kind(left[c].dtype) != _kind(right[c].dtype) and len(left):
             return f"column {c}: {a} != {b}"
