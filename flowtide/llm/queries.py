@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontamination
+from flowtide.llm import decontamination, license_diagonals, secret_ownership
 from flowtide.llm.kd_sharding import shard_documents
 from flowtide.llm.language_kernel import languages
 from flowtide.llm.minhash import near_duplicates
@@ -27,6 +27,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_secret_ownership", secret_ownership.SQL)
+def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_ownership.secrets(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[secret_ownership.kinds_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secret_ownership.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_ownership.listed(F.col("spans")).alias("spans"), "n_live", "n_copied",
+    )
+
+
 @query("op4_decontamination", decontamination.SQL)
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -41,6 +52,11 @@ def op5_language_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return languages(table(spark, folder, "documents"))
 
 
+@query("op6_license_diagonals", license_diagonals.SQL)
+def op6_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
+    return license_diagonals.licenses(table(spark, folder, "documents"))
+
+
 @query("op7_quality_rules")
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"))
