@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.llm import decontamination, license_diagonals, secret_ownership
+from flowtide.llm.html_consensus import extracted_pages
 from flowtide.llm.kd_sharding import shard_documents
 from flowtide.llm.language_kernel import languages
 from flowtide.llm.minhash import near_duplicates
@@ -27,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_html_consensus")
+def op1_html_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    return extracted_pages(table(spark, folder, "pages"))
+
+
 @query("op2_secret_ownership", secret_ownership.SQL)
 def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_ownership.secrets(table(spark, folder, "documents"))
