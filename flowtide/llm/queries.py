@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from flowtide.llm import decontamination, license_diagonals, secret_ownership
 from flowtide.llm.html_consensus import extracted_pages
 from flowtide.llm.kd_sharding import shard_documents
 from flowtide.llm.language_kernel import languages
 from flowtide.llm.minhash import near_duplicates
 from flowtide.llm.quality_rules import quality_report
+from flowtide.llm.temperature_mixing import mixture
+from flowtide.llm.token_histogram import token_lengths
 from flowtide.plans.registry import QueryFn
 from flowtide.session import table
 
@@ -44,6 +47,11 @@ def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_temperature_mixing")
+def op3_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"), max_repeats=2.0)
+
+
 @query("op4_decontamination", decontamination.SQL)
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -73,6 +81,16 @@ def op8_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op9_token_histogram")
+def op9_token_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return token_lengths(table(spark, folder, "documents"))
+
+
 @query("op10_kd_sharding")
 def op10_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), 8)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
