@@ -1,0 +1,220 @@
+"""Operators on single texts against plain Python versions over rows with every odd case."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+
+from flowtide.llm import decontamination, language_kernel, license_diagonals, quality_rules, secret_ownership
+from flowtide.llm.token_histogram import encoder, kept_under, length_at, token_lengths, PATTERN, VOCABULARY
+
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return LETTERS.findall((text or "").translate(ASCII_LOWER))
+
+
+def rows_of(df, *columns):
+    return sorted(map(repr, df.select(*columns).collect())) if columns else sorted(map(repr, df.collect()))
+
+
+def as_rows(values):
+    return sorted(map(repr, values))
+
+
+def test_quality_measures(edge, edge_rows):
+    expected = []
+    for doc_id, text, *_ in edge_rows:
+        text = text or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+        grams = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+        covered = {j for i in range(len(ws) - 4) if grams[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(ws) < 10 or 100 * len(covered) > 20 * len(ws)
+        expected.append((doc_id, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed))
+    found = quality_rules.quality_report(edge)
+    got = [tuple(r) for r in found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()]
+    assert as_rows(got) == as_rows(expected)
+    assert all(not r["kept"] for r in found.collect() if r["base_failed"])
+
+
+def test_quality_repeated_windows(spark):
+    from conftest import make
+
+    texts = ["a b c d e " * 9, "a b c d e f a b c d e g b c d e f", "x y x y x y x y x y x", "q " * 4, "q " * 5, "q " * 6]
+    found = quality_rules.quality_report(make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    got = {r["doc_id"]: r["n_repeat_words"] for r in found.collect()}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        grams = Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+        assert got[i] == len({j for k in range(len(ws) - 4) if grams[tuple(ws[k : k + 5])] > 1 for j in range(k, k + 5)})
+
+
+def test_quality_keeps_good_texts(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    judged = quality_rules.quality_report(docs).join(labels, "doc_id").where("NOT base_failed").collect()
+    good = [r["kept"] for r in judged if r["quality"] == 1]
+    bad = [r["kept"] for r in judged if r["quality"] == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_secret_base_spans(edge, edge_rows):
+    kinds = [
+        ("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", r"AKIA[A-Z0-9]+", 0, 18),
+        ("hex", r"[0-9a-f]+", 0, 16),
+    ]
+    expected = []
+    for doc_id, text, *_ in edge_rows:
+        spans = [
+            (m.start(), k, f"{name}:{m.start()}:{m.end()}")
+            for k, (name, pattern, group, least) in enumerate(kinds)
+            for m in re.finditer(pattern, text or "")
+            if len(m[group]) >= least
+        ]
+        expected.append((doc_id, ",".join(s for _, _, s in sorted(spans))))
+    found = secret_ownership.secrets(edge)
+    got = [tuple(r) for r in found.select("doc_id", secret_ownership.listed(found["base"]).alias("base")).collect()]
+    assert as_rows(got) == as_rows(expected)
+
+
+def test_secret_ownership_tells_examples_from_live_values(spark):
+    from conftest import make
+
+    copied, own = "password=Abcd1234Efgh5678", "password=Zyxw9876Vuts5432"
+    run = "Qw3rTy7UiOp9AsDf2GhJkL"
+    rows = [(i, f"text {copied} end", "en", f"s{i}") for i in range(5)] + [(9, f"text {own} and {run}", "en", "s9")]
+    found = {r["doc_id"]: r for r in secret_ownership.secrets(make(spark, rows)).collect()}
+    assert [found[0]["n_live"], found[0]["n_copied"]] == [0, 1]
+    assert [found[9]["n_live"], found[9]["n_copied"]] == [2, 0]
+    assert [s["kind"] for s in found[9]["spans"]] == ["assign", "live"]
+    assert [s["kind"] for s in found[9]["base"]] == ["assign"]
+
+
+def test_licenses(edge, edge_rows):
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    expected = []
+    for doc_id, text, *_ in edge_rows:
+        ws = words(text)
+        places = [(i, label) for p, label in phrases.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in places]
+        expected.append((doc_id, len(ws), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))))
+    got = [tuple(r) for r in license_diagonals.licenses(edge).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()]
+    assert as_rows(got) == as_rows(expected)
+
+
+def test_license_notices_with_changed_words(spark):
+    from conftest import make
+
+    notice = next(t.text for t in license_diagonals.TEMPLATES if t.label == "bsd").split()
+    broken = notice[:8] + ["really"] + notice[8:14] + notice[15:]
+    scattered = " filler ".join(" ".join(notice[i : i + 3]) for i in range(0, len(notice), 3))
+    rows = [(1, "x y " + " ".join(notice), "en", "s"), (2, "x " + " ".join(broken) + " z", "en", "s"), (3, " ".join(notice[:5]), "en", "s"), (4, scattered + " pad" * 40, "en", "s")]
+    found = {r["doc_id"]: r for r in license_diagonals.licenses(make(spark, rows)).collect()}
+    assert found[1]["labels"] == "bsd" and found[1]["score"] == 1.0
+    assert found[2]["labels"] == "bsd" and 0.6 <= found[2]["score"] < 1
+    assert found[3]["labels"] == "" and found[3]["score"] == 0.0
+
+
+@pytest.mark.parametrize("most", [decontamination.MAX_WINDOWS, 20])
+def test_contamination(spark, edge, edge_rows, most, monkeypatch):
+    items = [(1, " ".join(edge_rows[0][1].split()[20:45])), (2, "STRASSE; straße日本語?"), (3, None), (4, ""), (5, "..."), (6, "Same LINE same-line"), (6, "one"), (None, "apache license")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = []
+    for item, text in items:
+        ws = words(text)
+        size = min(10, len(ws))
+        windows += [(item, tuple(ws[i : i + size])) for i in range(len(ws) - size + 1) if size]
+    expected = []
+    for doc_id, text, *_ in edge_rows:
+        ws, hit, found = words(text), set(), set()
+        for item, window in windows:
+            for i in range(len(ws) - len(window) + 1):
+                if tuple(ws[i : i + len(window)]) == window:
+                    hit.update(range(i, i + len(window)))
+                    found |= {str(item)} if item is not None else set()
+        expected.append((doc_id, len(ws), len(hit), sorted(found), bool(hit)))
+    monkeypatch.setattr(decontamination, "MAX_WINDOWS", most)
+    scan = decontamination.scanner(bench, most=most)
+    if most == 20:
+        assert len(list(decontamination.benchmark_parts(bench, most=most))) > 1
+    got = edge.select("doc_id", scan(edge["text"]).alias("h")).select("doc_id", "h.n_words", "h.n_hit", "h.items", "h.spans").collect()
+    assert as_rows([(r[0], r[1], r[2], list(r[3]), r[2] > 0) for r in got]) == as_rows(expected)
+    texts = {i: t for i, t, *_ in edge_rows}
+    for r in got:
+        inside = [w for s in r["spans"] for w in words(texts[r["doc_id"]][s["start"] : s["end"]])]
+        assert len(inside) == r["n_hit"]
+
+
+def test_contamination_of_nothing(spark, edge, nothing):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert {r["n_hit"] for r in decontamination.contamination(edge, bench).collect()} == {0}
+    assert decontamination.contamination(nothing, bench).collect() == []
+
+
+def test_language_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_kernel.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 150
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_edges(edge, edge_rows, nothing):
+    got = language_kernel.languages(edge).collect()
+    assert len(got) == len(edge_rows)
+    by_id = {r["doc_id"]: r for r in got}
+    assert all(by_id[i]["lang_pred"] == "und" for i in (5, 6, 7, 12))
+    assert {r["lang_pred"] for r in got} <= {"en", "de", "fr", "es", "und"}
+    assert language_kernel.languages(nothing).collect() == []
+    unlabelled = edge.withColumn("lang", edge["lang"].substr(9, 1)).where("lang is null")
+    assert {r["lang_pred"] for r in language_kernel.languages(unlabelled).collect()} == {"und"}
+
+
+def test_kernel_is_the_presence_kernel():
+    a, b = language_kernel.grams("abab"), language_kernel.grams("abc")
+
+    def plain(text):
+        line = f" {text}  "
+        three = {line[i : i + 3] for i in range(len(line) - 2)}
+        return three | {x[:2] for x in three} | {x[:1] for x in three}
+
+    assert len(a) == len(plain("abab")) and len(b) == len(plain("abc"))
+    assert len(set(a) & set(b)) == len(plain("abab") & plain("abc"))
+    assert len(language_kernel.grams("12 34")) == 0
+
+
+def test_token_lengths(edge, edge_rows, nothing):
+    with open(VOCABULARY, "rb") as file:
+        own = encoder(VOCABULARY, PATTERN, file.read())
+    lengths = [len(own.encode_ordinary(t or "")) for _, t, *_ in edge_rows]
+    sums = token_lengths(edge)
+    rows = {r["n_tokens"]: r for r in sums.collect()}
+    assert sorted(rows) == sorted(set(lengths))
+    for limit, r in rows.items():
+        assert r["n_docs"] == lengths.count(limit)
+        assert r["docs_from"] == sum(n >= limit for n in lengths) and r["docs_below"] == sum(n < limit for n in lengths)
+        assert r["tokens_from"] == sum(n for n in lengths if n >= limit)
+        assert r["kept_tokens"] == sum(min(n, limit) for n in lengths)
+        assert r["lost_tokens"] == sum(lengths) - r["kept_tokens"]
+        assert r["quantile"] == sum(n <= limit for n in lengths) / len(lengths)
+    assert kept_under(sums, 50) == sum(min(n, 50) for n in lengths)
+    assert length_at(sums, 0.5) == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
+    assert token_lengths(nothing).collect() == []
+
+
+@pytest.mark.parametrize("operator", [quality_rules.quality_report, secret_ownership.secrets, license_diagonals.licenses])
+def test_empty_table(nothing, operator):
+    assert operator(nothing).collect() == []
+
+
+def test_item_digest_is_of_sorted_ids(spark, small):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["op4_decontamination"](spark, small).collect()
+    assert {r["items_sha256"] for r in rows if not r["n_items"]} <= {hashlib.sha256(b"").hexdigest()}
