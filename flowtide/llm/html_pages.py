@@ -16,7 +16,7 @@ _TOKEN = re.compile(
     r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r".*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
+    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>|</?[a-zA-Z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
