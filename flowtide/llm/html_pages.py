@@ -2,7 +2,8 @@
 
 Only block elements are kept on the stack. A new paragraph, list item or cell ends an open one, an end tag
 ends everything inside its element, and one without a start is ignored, so unclosed or crossed inline tags
-do no harm.
+do no harm. A quoted attribute is looked for over 20,000 characters, which bounds the work on broken markup; a
+tag with a longer one ends at its first closing bracket.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from html import unescape
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|textarea|title)\b(?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+>"
     r".*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>|</?[a-zA-Z][^<>]*\Z",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>"
+    r"|</?[a-zA-Z][^<>]*>|<[!?/][^<>]*>|</?[a-zA-Z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
