@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Mention pattern, context width, keyword table (checked in this order), scores.
 CVE_PATTERN = r"CVE-\d{4}-\d{4,7}"
 CONTEXT_CHARS = 200
-MENTION_LIMIT = 5
 SEVERITY_KEYWORDS = {
     "CRITICAL": ["critical", "severe", "rce", "remote code execution"],
     "HIGH": ["high", "dangerous", "dos", "denial of service"],
@@ -27,13 +26,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
-def clean_for_relevance(text: Column) -> Column:
+def clean_for_relevance(text: Column, longest: int | None = None) -> Column:
     """Plain ASCII words and punctuation: what follows ``Final Prediction:``, else the first
-    line, at most 200 characters of it."""
+    line, with ``longest`` at most that many characters of it."""
     ascii_only = F.regexp_replace(text, r"[^\x00-\x7F]", "")
     plain = F.regexp_replace(ascii_only, r"[^\w\s.,:;!?-]", "")
     found = F.regexp_extract(plain, r"Final Prediction:\s*([^\n]+)", 1)
-    first_line = F.substring(F.element_at(F.split(strip(plain), "\n"), 1), 1, 200)
+    first_line = F.element_at(F.split(strip(plain), "\n"), 1)
+    first_line = first_line if longest is None else F.substring(first_line, 1, longest)
     return F.when(text.isNull(), F.lit("")).when(found != "", strip(found)).otherwise(first_line)
 
 
@@ -61,10 +61,10 @@ def _total_length(parts: Column) -> Column:
 
 
 def mine_mentions(
-    df: DataFrame, text: str, topic: Column, pattern: str = CVE_PATTERN, limit: int | None = MENTION_LIMIT
+    df: DataFrame, text: str, topic: Column, pattern: str = CVE_PATTERN, limit: int | None = None
 ) -> DataFrame:
-    """One row per distinct id mentioned in a text, in order of first mention (the first
-    ``limit`` per text is the feature; None keeps all): context, severity, description.
+    """One row per distinct id mentioned in a text, in order of first mention (with
+    ``limit``, the first so many of each text): context, severity, description.
 
     The text is split at the matches once; a match starts after the pieces and matches before
     it, so ids that are the beginning of a longer id are never mistaken for it.

@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 from flowtide.operators.neighbors import nearest, neighbour_vote
 from flowtide.operators.voting import VOTERS, hard_vote
 
-# Memory size and retrieval depth.
-MEMORY_LIMIT = 25
+# Fixed value: retrieval depth.
 RETRIEVED = 5
 
 
-def memory_candidates(predictions: DataFrame, truths: DataFrame, row_id: str, truth: str, limit: int = MEMORY_LIMIT) -> DataFrame:
-    """Rows answered correctly, the first ``limit`` by id (the memory's size)."""
+def memory_candidates(predictions: DataFrame, truths: DataFrame, row_id: str, truth: str, limit: int | None = None) -> DataFrame:
+    """Rows answered correctly; with ``limit``, those among the first ``limit`` predictions by id."""
+    if limit is not None:
+        predictions = predictions.orderBy(row_id).limit(limit)
     correct = predictions.join(truths, row_id).where(F.col("prediction") == F.col(truth))
-    return correct.select(row_id, truth).orderBy(row_id).limit(limit)
+    return correct.select(row_id, truth)
 
 
-def mitigation_memory(threats: DataFrame, mitigations: DataFrame, row_id: str, limit: int = MEMORY_LIMIT) -> DataFrame:
-    """The first ``limit`` threats by id with the mitigation known to have worked, if any; only
-    those with one are remembered (``remember`` is true)."""
-    first = threats.orderBy(row_id).limit(limit)
+def mitigation_memory(threats: DataFrame, mitigations: DataFrame, row_id: str, limit: int | None = None) -> DataFrame:
+    """The threats (with ``limit``, the first by id) with the mitigation known to have worked, if any;
+    only those with one are remembered (``remember`` is true)."""
+    first = threats if limit is None else threats.orderBy(row_id).limit(limit)
     return first.join(mitigations, row_id, "left").withColumn("remember", F.col("mitigation").isNotNull())
 
 

@@ -6,6 +6,8 @@ independent of partitioning. No variant sorts the table or numbers it in one tas
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from flowtide.operators.segments import ranked
 
 DEFAULT_SEED = 42
 _PREFIX_DIGITS = 4
+#: Hex digits a threshold is compared in: shares down to 1e-18 of the rows.
+_THRESHOLD_DIGITS = 15
 
 
 def hash_key(row_id: str | Column, seed: int = DEFAULT_SEED) -> Column:
@@ -23,11 +27,11 @@ def hash_key(row_id: str | Column, seed: int = DEFAULT_SEED) -> Column:
 def _below(row_id: str, fraction: float, seed: int) -> Column:
     if not 0 <= fraction <= 1:
         raise ValueError("fraction lies between 0 and 1")
-    steps = 16**_PREFIX_DIGITS
-    cut = int(fraction * steps)
+    steps = 16**_THRESHOLD_DIGITS
+    cut = int(Decimal(str(fraction)) * steps)
     if cut >= steps:
         return F.lit(True)
-    return F.substring(hash_key(row_id, seed), 1, _PREFIX_DIGITS) < f"{cut:0{_PREFIX_DIGITS}x}"
+    return F.substring(hash_key(row_id, seed), 1, _THRESHOLD_DIGITS) < f"{cut:0{_THRESHOLD_DIGITS}x}"
 
 
 def hash_sample(df: DataFrame, row_id: str, fraction: float, seed: int = DEFAULT_SEED) -> DataFrame:

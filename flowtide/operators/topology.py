@@ -41,10 +41,14 @@ def host_ports(ports: DataFrame, switches: DataFrame) -> DataFrame:
         .join(known, "dpid", "left_semi")
         .select("dpid", "port_no", "port_name", infer_host_ip(F.col("dpid"), p).alias("ipv4"))
     )
-    if discovered.isEmpty():
-        defaults = ports.sparkSession.createDataFrame(DEFAULT_HOSTS, "dpid long, port_no long, ipv4 string")
-        discovered = defaults.join(known, "dpid", "left_semi").withColumn("port_name", F.lit(None).cast("string"))
-    hosts = discovered.withColumn("__all", F.lit(1))
+    found = discovered.select(F.lit(1).alias("__all")).distinct()
+    defaults = (
+        ports.sparkSession.createDataFrame(DEFAULT_HOSTS, "dpid long, port_no long, ipv4 string")
+        .join(known, "dpid", "left_semi")
+        .select("dpid", "port_no", F.lit(None).cast("string").alias("port_name"), "ipv4", F.lit(1).alias("__all"))
+        .join(found, "__all", "left_anti")
+    )
+    hosts = discovered.withColumn("__all", F.lit(1)).unionByName(defaults)
     numbered = ranked(hosts, ["__all"], F.col("dpid"), [F.col("dpid"), F.col("port_no"), F.col("port_name")], "n")
     return numbered.select(
         "dpid", "port_no", "ipv4", F.concat(F.lit("00:00:00:00:00:0"), _text(F.col("n"))).alias("mac")

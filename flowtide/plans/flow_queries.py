@@ -49,7 +49,7 @@ def scan_flows(spark, folder):
     "dataset_roundtrip",
     """SELECT is_test, label, CAST(count(*) AS BIGINT) AS n,
               round(sum(flow_duration), 6) AS duration
-       FROM (SELECT *, substr(md5(concat('42:', CAST(flow_id AS VARCHAR))), 1, 4) < '3333' AS is_test FROM flows)
+       FROM (SELECT *, substr(md5(concat('42:', CAST(flow_id AS VARCHAR))), 1, 15) < '333333333333333' AS is_test FROM flows)
        GROUP BY is_test, label""",
     "flows",
 )
@@ -446,7 +446,7 @@ def row_ids(spark, folder):
 _DIGEST = "md5(concat('42:', CAST(flow_id AS VARCHAR)))"
 
 
-@query("hash_sample", f"SELECT flow_id FROM flows WHERE substr({_DIGEST}, 1, 4) < '0ccc'", "flows")
+@query("hash_sample", f"SELECT flow_id FROM flows WHERE substr({_DIGEST}, 1, 15) < '0cccccccccccccc'", "flows")
 def hash_sample(spark, folder):
     return sampling.hash_sample(adapters.flows(spark, folder), "flow_id", 0.05).select("flow_id")
 
@@ -468,7 +468,7 @@ def sample_fraction_exact(spark, folder):
 
 @query(
     "train_test_split",
-    f"SELECT flow_id, substr({_DIGEST}, 1, 4) < '3333' AS is_test FROM flows",
+    f"SELECT flow_id, substr({_DIGEST}, 1, 15) < '333333333333333' AS is_test FROM flows",
     "flows",
 )
 def train_test_split(spark, folder):
@@ -547,7 +547,7 @@ def label_encode(spark, folder):
 
 @query(
     "transform_data",
-    f"""WITH f AS (SELECT flow_id, label, flow_duration, substr({_DIGEST}, 1, 4) < '3333' AS is_test FROM flows),
+    f"""WITH f AS (SELECT flow_id, label, flow_duration, substr({_DIGEST}, 1, 15) < '333333333333333' AS is_test FROM flows),
         p AS (SELECT avg(flow_duration) AS m, stddev_pop(flow_duration) AS s FROM f WHERE NOT is_test),
         q AS (SELECT avg(flow_duration) AS m, stddev_pop(flow_duration) AS s FROM f WHERE NOT is_test AND label <> 'Benign'),
         c AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM f WHERE label <> 'Benign' AND NOT is_test))

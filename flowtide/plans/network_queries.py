@@ -119,13 +119,13 @@ def live_features(spark, folder):
 
 @query(
     "top_flows",
-    f"SELECT flow_id, packets AS packet_count FROM ({_ENTRY_SQL}) ORDER BY packets DESC, flow_id LIMIT 100",
+    f"SELECT flow_id, packets AS packet_count FROM ({_ENTRY_SQL})",
     "flow_stats",
 )
 def top_flows(spark, folder):
     entries = files.explode_polls(_polls(spark, folder), keep=("flow_id",))
     count = F.coalesce("entry.packet_count", F.lit(0.0))
-    return entries.select("flow_id", count.alias("packet_count")).orderBy(F.col("packet_count").desc(), "flow_id").limit(100)
+    return entries.select("flow_id", count.alias("packet_count")).orderBy(F.col("packet_count").desc(), "flow_id")
 
 
 @query(

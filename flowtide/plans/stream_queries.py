@@ -15,8 +15,12 @@ from flowtide.sources import adapters
 from flowtide.streaming import streams
 
 
-def _landed_flows(spark, folder, parts=3):
-    """The flows landed in order as equal spans of time, one after the other, read as a stream."""
+def _run_landed(spark, folder, start, parts=3):
+    """Run ``start(stream of flows)`` to its end once for each of equal spans of time, landed in order.
+
+    A trigger takes all files of a span, so it does not matter how many there are and in which order
+    they were written; the checkpoint carries the state from span to span. Returns the last run.
+    """
     flows = adapters.flows(spark, folder)
     landing = fresh_path(spark, "flows-landing")
     us = event_micros(flows, "ts")
@@ -25,7 +29,9 @@ def _landed_flows(spark, folder, parts=3):
     for i in range(parts):
         part = flows.where(F.floor((us - F.lit(ends["lo"])) / span) == i)
         part.write.mode("append").parquet(landing)
-    return spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        run = start(spark.readStream.schema(flows.schema).parquet(landing))
+        run.awaitTermination()
+    return run
 
 
 def _utc(flows):
@@ -54,22 +60,22 @@ def stream_flows(spark, folder):
 
 @query(
     "stream_rolling",
-    f"""SELECT flow_id, CAST(count(dst_port) OVER w AS BIGINT) AS n, CAST(count(DISTINCT dst_port) OVER w AS BIGINT) AS ports,
-         round(sum(flow_bytes_s) OVER w, 6) AS bytes FROM flows WINDOW w AS {SRC}""",
+    f"""SELECT flow_id, n, ports, bytes FROM (
+         SELECT flow_id, ts, CAST(count(dst_port) OVER w AS BIGINT) AS n, CAST(count(DISTINCT dst_port) OVER w AS BIGINT) AS ports,
+           round(sum(flow_bytes_s) OVER w, 6) AS bytes FROM flows WINDOW w AS {SRC})
+       WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM flows)""",
     "flows",
 )
 def stream_rolling(spark, folder):
-    job = streams.TrailingFeatures(
-        "src_ip",
-        [Rolling("n", "count", "dst_port"), Rolling("ports", "nunique", "dst_port"), Rolling("bytes", "sum", "flow_bytes_s")],
-        DAY,
-        "12d",  # longer than one landed span, within which files come in any order
-        fresh_path(spark, "trailing"),
-    )
-    run = streams.each_batch(_landed_flows(spark, folder), job, fresh_path(spark, "trailing-log"))
-    run.awaitTermination()
-    job.finish(spark, run.lastProgress["batchId"])
-    return job.results(spark).select("flow_id", "n", "ports", F.round("bytes", 6).alias("bytes"))
+    """Trailing features of the rows that are final when the stream ends, an hour before the latest."""
+    features = [Rolling("n", "count", "dst_port"), Rolling("ports", "nunique", "dst_port"), Rolling("bytes", "sum", "flow_bytes_s")]
+    out, log = fresh_path(spark, "trailing"), fresh_path(spark, "trailing-log")
+
+    def start(flows):
+        return streams.write_stream(streams.trailing(_utc(flows), "src_ip", "flow_id", features, DAY, "1 hour"), out, log)
+
+    _run_landed(spark, folder, start)
+    return spark.read.parquet(out).select("flow_id", "n", "ports", F.round("bytes", 6).alias("bytes"))
 
 
 @query(
@@ -81,11 +87,13 @@ def stream_rolling(spark, folder):
 )
 def stream_rates(spark, folder):
     """Hourly rates of the windows that are final when the stream ends."""
-    flows = _utc(_landed_flows(spark, folder))
-    out = fresh_path(spark, "rates")
-    rates = streams.rates(flows, "src_ip", "1 hour", "10 minutes")
-    streams.write_stream(rates, out, fresh_path(spark, "rates-log")).awaitTermination()
-    stored = spark.read.schema(rates.schema).parquet(out)
+    out, log = fresh_path(spark, "rates"), fresh_path(spark, "rates-log")
+
+    def start(flows):
+        return streams.write_stream(streams.rates(_utc(flows), "src_ip", "1 hour", "10 minutes"), out, log)
+
+    _run_landed(spark, folder, start)
+    stored = spark.read.parquet(out)
     return stored.select(
         "src_ip", F.unix_micros("window_start").alias("window_us"), "n_flows", F.round("bytes_s", 6).alias("bytes_s")
     )
@@ -98,10 +106,12 @@ def stream_rates(spark, folder):
 )
 def stream_rules(spark, folder):
     """Rules from streamed predictions, stateful duplicate removal, idempotent storage."""
-    flows = _utc(_landed_flows(spark, folder))
-    path = fresh_path(spark, "stream-rules")
-    made = rules.rules_from_predictions(flows, ["ts"], "label", dpid=2)
-    unique = streams.unique_rules(made, "ts", "1 hour")
-    streams.each_batch(unique, streams.store_rules(path), fresh_path(spark, "stream-rules-log")).awaitTermination()
+    path, log = fresh_path(spark, "stream-rules"), fresh_path(spark, "stream-rules-log")
+
+    def start(flows):
+        made = rules.rules_from_predictions(_utc(flows), ["ts"], "label", dpid=2)
+        return streams.each_batch(streams.unique_rules(made, "ts", "1 hour"), streams.store_rules(path), log)
+
+    _run_landed(spark, folder, start)
     stored = spark.read.parquet(path)
     return stored.groupBy("command_type", "priority", "rule_json").agg(F.count(F.lit(1)).alias("times_stored"))

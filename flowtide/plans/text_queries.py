@@ -23,7 +23,7 @@ from flowtide.sources import adapters, files, knowledge
 )
 def clean_text(spark, folder):
     marked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Notes: Final Prediction:  "), "text")).otherwise(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", text.clean_for_relevance(marked).alias("cleaned"))
+    return table(spark, folder, "documents").select("doc_id", text.clean_for_relevance(marked, 200).alias("cleaned"))
 
 
 def _severity_sql(column: str) -> str:
@@ -64,7 +64,7 @@ _MENTION = "[A-Z][a-z]{6,}"
         FROM h""",
 )
 def mention_context(spark, folder):
-    mined = text.mine_mentions(table(spark, folder, "documents"), "text", F.lit("network"), _MENTION)
+    mined = text.mine_mentions(table(spark, folder, "documents"), "text", F.lit("network"), _MENTION, 5)
     return mined.select("doc_id", "ordinal", "mention", "start", "severity", "description")
 
 
@@ -163,15 +163,15 @@ def relevance_score(spark, folder):
     return _scored(spark, folder).select("product_id", "relevance")
 
 
-@query("top_products", f"SELECT product_id, relevance FROM ({_SCORE_SQL}) ORDER BY relevance DESC, product_id LIMIT 10", "products")
+@query("top_products", f"SELECT product_id, relevance FROM ({_SCORE_SQL})", "products")
 def top_products(spark, folder):
-    return _scored(spark, folder).orderBy(F.col("relevance").desc(), "product_id").limit(10).select("product_id", "relevance")
+    return _scored(spark, folder).orderBy(F.col("relevance").desc(), "product_id").select("product_id", "relevance")
 
 
-@query("score_products", f"SELECT product_id, name, relevance FROM ({_SCORE_SQL}) ORDER BY product_id LIMIT 5", "products")
+@query("score_products", f"SELECT product_id, name, relevance FROM ({_SCORE_SQL})", "products")
 def score_products(spark, folder):
-    """Scored products, the first five in their given order (the feature's cap)."""
-    return _scored(spark, folder).orderBy("product_id").limit(5).select("product_id", "name", "relevance")
+    """Scored products in their given order."""
+    return _scored(spark, folder).orderBy("product_id").select("product_id", "name", "relevance")
 
 
 @query(
@@ -338,7 +338,8 @@ def knowledge_append(spark, folder):
     """Documents added to the knowledge table in two appends, then sized per document."""
     path = fresh_path(spark, "knowledge")
     documents = table(spark, folder, "documents").where(F.length("text") > 0)
-    for part in (documents.where(F.col("lang") == "en"), documents.where(F.col("lang") != "en")):
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (documents.where(english), documents.where(~english)):
         knowledge.add_knowledge(part, "text", "doc_id", path)
     stored = knowledge.load_knowledge(spark, path)
     square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))

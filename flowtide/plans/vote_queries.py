@@ -196,7 +196,7 @@ def label_align(spark, folder):
 
 @query(
     "memory_candidates",
-    """SELECT row_id, truth FROM votes WHERE knn = truth ORDER BY row_id LIMIT 25""",
+    """SELECT row_id, truth FROM votes WHERE knn = truth""",
     "votes",
 )
 def memory_candidates(spark, folder):
@@ -206,7 +206,7 @@ def memory_candidates(spark, folder):
 
 @query(
     "mitigation_memory",
-    """WITH t AS (SELECT flow_id, label FROM flows WHERE label <> 'Benign' ORDER BY flow_id LIMIT 25)
+    """WITH t AS (SELECT flow_id, label FROM flows WHERE label <> 'Benign')
        SELECT flow_id, label, CASE WHEN flow_id % 3 = 0 THEN 'blocked at source' ELSE '-' END AS mitigation, flow_id % 3 = 0 AS remember FROM t""",
     "flows",
 )
@@ -364,7 +364,7 @@ def cosine_topk(spark, folder):
     return out.select("query_id", "reference_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-_SPLIT = "substr(md5(concat('42:', CAST(vec_id AS VARCHAR))), 1, 4) < '3333'"
+_SPLIT = "substr(md5(concat('42:', CAST(vec_id AS VARCHAR))), 1, 15) < '333333333333333'"
 
 
 @query(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowtide.functions.timing import event_micros, window_micros
 from flowtide.operators.live import append_rules, live_flows
-from flowtide.operators.rolling import Rolling, rolling
+from flowtide.operators.rolling import Rolling
 from flowtide.operators.rules import rule_key
-from flowtide.session import path_exists
 
 
 def poll_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:
@@ -61,79 +63,82 @@ def rates(df: DataFrame, key: str, window: str, delay: str, slide: str | None =
     )
 
 
-class TrailingFeatures:
-    """Exact trailing-window features on a stream, micro-batch by micro-batch.
-
-    A row is final when the watermark (latest time seen minus the allowed delay) reaches it:
-    every row that could share its frame has then arrived. Each batch reads the rows still
-    needed (a table written by the batch before), adds its own, computes the rows that became
-    final with the batch engine and writes the rows needed by the next. Tables are named by
-    batch id, so a batch that runs again replaces its own output; older ones are removed once
-    the next batch is written. Rows behind the watermark on arrival are dropped and counted.
+def _trailing_values(us: np.ndarray, low: np.ndarray, high: np.ndarray, kind: str, values: np.ndarray) -> np.ndarray:
+    """One feature over the rows ``low`` to ``high`` (exclusive) of each row; nan is a missing value."""
+    known = ~np.isnan(values)
+    if kind == "nunique":
+        out, counts, distinct, left, right = np.zeros(len(low)), {}, 0, 0, 0
+        for i, (start, end) in enumerate(zip(low, high)):  # both only grow
+            for j in range(right, end):
+                if known[j]:
+                    counts[values[j]] = counts.get(values[j], 0) + 1
+                    distinct += counts[values[j]] == 1
+            for j in range(left, start):
+                if known[j]:
+                    counts[values[j]] -= 1
+                    distinct -= counts[values[j]] == 0
+            left, right, out[i] = start, end, distinct
+        return out
+    upto = np.concatenate(([0.0], np.cumsum(known if kind == "count" else np.where(known, values, 0.0))))
+    return upto[high] - upto[low]
+
+
+def trailing(
+    df: DataFrame, key: str, row_id: str, features: Sequence[Rolling], window: str, delay: str, ts: str = "ts"
+) -> DataFrame:
+    """Exact trailing-window counts, distinct counts and sums of a stream, in Spark's own keyed state.
+
+    A row is final when the watermark (latest time seen less ``delay``) has passed it: every row that could
+    share its frame has then arrived. The state of a key holds the rows of its last window; a timer wakes
+    it when its next row becomes final, and forgets it when its window is over. Later rows are dropped by
+    the watermark; rows without a key have no features. The rows within ``delay`` of the latest time stay in the state when a run ends.
     """
-
-    def __init__(
-        self, key: str, features: Sequence[Rolling], window: str, delay: str, base: str, ts: str = "ts"
-    ):
-        self.key, self.features, self.ts = key, list(features), ts
-        self.window, self.delay = window_micros(window), window_micros(delay)
-        self.out, self.state, self.late = f"{base}/out", f"{base}/state", f"{base}/late"
-
-    def _state(self, spark: SparkSession, batch: int) -> DataFrame | None:
-        path = f"{self.state}/batch={batch}"
-        return spark.read.parquet(path) if batch >= 0 and path_exists(spark, f"{path}/_SUCCESS") else None
-
-    def _latest(self, rows: DataFrame) -> int | None:
-        return rows.agg(F.max("__us").alias("m")).first()["m"]
-
-    def _final(self, rows: DataFrame, after: int | None, upto: int) -> DataFrame:
-        ready = rows.where(F.col("__us") <= upto)
-        featured = rolling(ready, self.key, self.features, self.window, "__us")
-        return featured.where(F.col("__us") > after) if after is not None else featured
-
-    def __call__(self, batch_rows: DataFrame, batch: int) -> None:
-        spark = batch_rows.sparkSession
-        arrived = batch_rows.withColumn("__us", event_micros(batch_rows, self.ts)).where(F.col("__us").isNotNull())
-        held = self._state(spark, batch - 1)
-        before = None
-        if held is not None:
-            latest = self._latest(held)
-            before = latest - self.delay if latest is not None else None
-        if before is not None:
-            arrived.where(F.col("__us") <= before).groupBy().agg(F.count(F.lit(1)).alias("n_late")).write.mode(
-                "overwrite"
-            ).parquet(f"{self.late}/batch={batch}")
-            arrived = arrived.where(F.col("__us") > before)
-        rows = arrived if held is None else held.unionByName(arrived)
-        latest = self._latest(rows)
-        if latest is None:
-            return
-        mark = latest - self.delay
-        self._final(rows, before, mark).drop("__us").write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
-        rows.where(F.col("__us") > mark - self.window).write.mode("overwrite").parquet(f"{self.state}/batch={batch}")
-        self._forget(spark, batch - 2)
-
-    def _forget(self, spark: SparkSession, batch: int) -> None:
-        """Remove this job's own state of an older batch."""
-        if batch < 0:
-            return
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.state}/batch={batch}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def finish(self, spark: SparkSession, last_batch: int) -> None:
-        """After the last batch: the rows the watermark has not reached become final."""
-        held = self._state(spark, last_batch)
-        if held is None:
+    span = window_micros(window)
+    fields = [f"v{i}" for i in range(len(features))]
+    rows = df.select(
+        F.col(key).alias("key"), F.col(row_id).cast("long").alias("row_id"), event_micros(df, ts).alias("us"), F.col(ts).alias("at"),
+        *[F.col(f.column).cast("double").alias(v) for f, v in zip(features, fields)],
+    ).where(F.col("us").isNotNull())
+
+    def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["us", "row_id", *fields]
+        done, held = -(1 << 62), []
+        if state.exists:
+            done, *lists = state.get
+            held.append(pd.DataFrame(dict(zip(columns, lists))))
+        held += [p[columns] for p in parts]
+        mark = state.getCurrentWatermarkMs() * 1000
+        table = pd.concat(held).astype({v: "float64" for v in fields}).sort_values(["us", "row_id"], kind="stable")
+        us = table["us"].to_numpy("int64")
+        low, high = np.searchsorted(us, us - span, "right"), np.searchsorted(us, us, "right")
+        ready = (us >= done) & (us < mark)
+        if ready.any():
+            out = {"key": [group[0]] * int(ready.sum()), "row_id": table["row_id"].to_numpy()[ready]}
+            for f, v in zip(features, fields):
+                out[f.name] = _trailing_values(us, low, high, f.kind, table[v].to_numpy())[ready]
+            yield pd.DataFrame(out)
+        keep = table[us > mark - span]
+        if not len(keep):
+            state.remove()
             return
-        latest = self._latest(held)
-        if latest is not None:
-            self._final(held, latest - self.delay, latest).drop("__us").write.mode("overwrite").parquet(
-                f"{self.out}/batch={last_batch + 1}"
-            )
-
-    def results(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.out).drop("batch")
+        pending = us[us >= mark]
+        wake = pending[0] // 1000 if len(pending) else (us[-1] + span) // 1000 + 1
+        state.update((max(done, mark), *[keep[c].tolist() for c in columns]))
+        state.setTimeoutTimestamp(max(int(wake), mark // 1000 + 1))
+
+    return (
+        rows.withWatermark("at", delay)
+        .groupBy("key")
+        .applyInPandasWithState(
+            run,
+            ", ".join([f"key {df.schema[key].dataType.simpleString()}", "row_id long", *[f"{f.name} double" for f in features]]),
+            ", ".join(["done long", "us array<long>", "row_id array<long>", *[f"{v} array<double>" for v in fields]]),
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
+        .withColumnsRenamed({"key": key, "row_id": row_id})
+        .withColumns({f.name: F.when(F.col(key).isNotNull(), F.col(f.name).cast("double" if f.kind == "sum" else "long")) for f in features})
+    )
 
 
 def unique_rules(rules: DataFrame, ts: str, horizon: str, salts: int = 16) -> DataFrame:

@@ -1,49 +1,54 @@
-"""Streams give the rows of their batch twins; late rows are dropped and counted."""
+"""Streams give the rows of their batch twins, whatever files the rows arrive in."""
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from check import connect, difference
 from flowtide.operators.live import append_rules
 from flowtide.operators.rolling import Rolling, rolling
-from flowtide.streaming.streams import TrailingFeatures
+from flowtide.streaming import streams
+
+FEATURES = [Rolling("n", "count", "port"), Rolling("u", "nunique", "port"), Rolling("s", "sum", "port")]
+
 
-SCHEMA = "row_id int, key string, ts long, port int"
-FEATURES = [Rolling("n", "count", "port"), Rolling("u", "nunique", "port")]
+def run_trailing(spark, tmp_path, batches, window="45s", delay="60 seconds"):
+    source, schema = str(tmp_path / "in"), "row_id int, key string, ts timestamp, port int"
+    for batch in batches:
+        rows = spark.createDataFrame([(i, k, None if t is None else t, p) for i, k, t, p in batch], "row_id int, key string, t long, port int")
+        rows.withColumn("ts", F.timestamp_seconds("t")).select("row_id", "key", "ts", "port").repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streams.write_stream(streams.trailing(stream, "key", "row_id", FEATURES, window, delay), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
 
 
 def rows_of(df):
-    return {r["row_id"]: (r["n"], r["u"]) for r in df.collect()}
+    return {r["row_id"]: (r["n"], r["u"], r["s"]) for r in df.collect()}
 
 
 def test_trailing_features_by_batches(spark, tmp_path):
-    rows = [(i, f"k{i % 3}", 10 * i + (i % 4), i % 5) for i in range(60)]
-    batches = [rows[0:20], rows[25:40], rows[20:25] + rows[40:60]]  # five rows come one batch late
-    job = TrailingFeatures("key", FEATURES, 45, 300, str(tmp_path))
-    for i, batch in enumerate(batches):
-        job(spark.createDataFrame(batch, SCHEMA), i)
-        if i == 1:
-            job(spark.createDataFrame(batch, SCHEMA), i)  # the batch runs again after a failure
-    job.finish(spark, len(batches) - 1)
-    twin = rolling(spark.createDataFrame(rows, SCHEMA), "key", FEATURES, 45)
-    assert rows_of(job.results(spark)) == rows_of(twin)
-    assert job.results(spark).count() == len(rows)
-
-
-def test_late_rows_are_dropped_and_counted(spark, tmp_path):
-    job = TrailingFeatures("key", FEATURES, 10, 5, str(tmp_path))
-    job(spark.createDataFrame([(1, "k", 100, 1)], SCHEMA), 0)
-    job(spark.createDataFrame([(2, "k", 95, 1), (3, "k", 96, 1), (4, "k", 120, 2)], SCHEMA), 1)
-    job.finish(spark, 1)
-    got = rows_of(job.results(spark))
-    assert got == {1: (2, 1), 3: (1, 1), 4: (1, 1)}
-    assert spark.read.parquet(f"{tmp_path}/late").agg({"n_late": "sum"}).first()[0] == 1
-
-
-def test_empty_batches(spark, tmp_path):
-    job = TrailingFeatures("key", FEATURES, 10, 5, str(tmp_path))
-    job(spark.createDataFrame([], SCHEMA), 0)
-    job(spark.createDataFrame([(1, "k", 100, 1)], SCHEMA), 1)
-    job.finish(spark, 1)
-    assert rows_of(job.results(spark)) == {1: (1, 1)}
+    rows = [(i, f"k{i % 3}" if i % 11 else None, 1000 + 10 * i + (i % 4), i % 5 if i % 7 else None) for i in range(60)]
+    batches = [rows[0:20], rows[22:40], rows[20:22] + rows[40:60]]  # two rows come one batch late
+    got = run_trailing(spark, tmp_path, [*batches, []], delay="300 seconds")
+    flat = spark.createDataFrame(rows, "row_id int, key string, ts long, port int")
+    twin = {r["row_id"]: (r["n"], r["u"], r["s"]) for r in rolling(flat, "key", FEATURES, 45).collect()}
+    final = {i for i, _, t, _ in rows if t < max(r[2] for r in rows) - 300}
+    assert rows_of(got) == {i: twin[i] for i in final} and got.count() == len(final)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    got = run_trailing(spark, tmp_path, [[(1, "k", 100, 1)], [(2, "k", 80, 1), (3, "k", 96, 1), (4, "k", 120, 2)], [(5, "j", 400, 1)]], "10s", "5 seconds")
+    assert rows_of(got) == {1: (2, 1, 2), 3: (1, 1, 1), 4: (1, 1, 2)}
+
+
+@pytest.mark.parametrize("name", ["stream_rates", "stream_rules", "stream_rolling"])
+def test_many_files_give_the_same_rows(spark, small, tmp_path, name):
+    """The table as nine files in no order of time."""
+    spark.read.parquet(f"{small}/events.parquet").orderBy(F.xxhash64("event_id")).repartition(9).write.parquet(str(tmp_path / "events.parquet"))
+    mine = entry.queries()[name](spark, str(tmp_path)).toPandas()
+    assert difference(mine, connect(small).execute(entry.oracle_sql()[name]).df()) is None
 
 
 def test_rules_are_stored_once(spark, tmp_path):
