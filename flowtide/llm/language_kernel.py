@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtide.session import materialize
+
 #: Bounds of the sample the classifier is fitted on.
 PER_LANGUAGE, MAX_CHARS = 300, 20_000
 LANDMARKS = 16
@@ -117,10 +119,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = M
     usable = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars)
     ).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that its size is known and the texts stay where they are
+    counts = materialize(usable.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")), "languages")
     share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
     near = (
-        usable.join(counts.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of"))
+        usable.join(counts, F.col("lang") == F.col("of"))
         .where(share * F.col("n") < 2 * per_language)
         .groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
     )
