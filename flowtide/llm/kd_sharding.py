@@ -85,13 +85,20 @@ def _order_key(dim: Column) -> Column:
     return high + F.shiftleft(F.col("kd.crc"), ROW_BITS) + F.shiftrightunsigned(F.col("kd.hash"), 64 - ROW_BITS)
 
 
+def _at_node(rows: DataFrame, facts: list[tuple], schema: str) -> DataFrame:
+    """Facts about nodes joined to their rows; of the root alone, as plain values."""
+    if len(facts) == 1 and facts[0][0] == 1:
+        names = [part.split() for part in schema.split(",")]
+        return rows.withColumns({name: F.lit(value).cast(kind) for (name, kind), value in zip(names, facts[0])})
+    table = values(rows.sparkSession, facts, schema)
+    return rows.join(table, F.col("node") == F.col(schema.split()[0]), "left")
+
+
 def assign(points: DataFrame, tree: list[list[tuple]]) -> DataFrame:
     """Add ``node``, the leaf of every row: 1 at the root, then twice the node, plus one at or after the cut."""
-    spark = points.sparkSession
     out = points.withColumn("node", F.lit(1).cast("long"))
     for level in tree:
-        cuts = values(spark, level, "at_node long, at_dim int, at_cut long")
-        joined = out.join(cuts, F.col("node") == F.col("at_node"), "left")
+        joined = _at_node(out, level, "at_node long, at_dim int, at_cut long")
         right = F.when(_order_key(F.col("at_dim")) >= F.col("at_cut"), 1).otherwise(0)
         out = joined.withColumn(
             "node", F.when(F.col("at_node").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right)
@@ -101,15 +108,13 @@ def assign(points: DataFrame, tree: list[list[tuple]]) -> DataFrame:
 
 def _descend(points: DataFrame, tree: list[list[tuple]], open_: list[_Search]) -> None:
     """One digit for every open search: which cell holds the cut, and the bytes before it."""
-    spark = points.sparkSession
     bits = open_[0].bits
     width = min(DIGIT, KEY_BITS - bits)
     shift = KEY_BITS - bits - width
-    state = values(spark, [(s.node, s.dim, s.prefix, float(s.target)) for s in open_],
-                   "at_node long, at_dim int, at_prefix long, at_target double")
+    state = [(s.node, s.dim, s.prefix, float(s.target)) for s in open_]
     key = _order_key(F.col("at_dim"))
     cells = (
-        assign(points, tree).join(state, F.col("node") == F.col("at_node"))
+        _at_node(assign(points, tree), state, "at_node long, at_dim int, at_prefix long, at_target double")
         .where(F.shiftright(key, shift + width) == F.col("at_prefix"))
         .groupBy("node", "at_target", F.shiftright(key, shift).bitwiseAND((1 << width) - 1).alias("digit"))
         .agg(F.sum("kd.size").alias("bytes"))
@@ -171,8 +176,8 @@ def shard(points: DataFrame, leaves: int | None = None, target_bytes: int | None
         total = points.select(F.sum("kd.size")).first()[0] or 0
         leaves = max(1, -(-total // target_bytes))
     tree, order = grow(points, leaves)
-    names = values(points.sparkSession, [(node, i) for i, node in enumerate(order)], "leaf long, shard int")
-    return assign(points, tree).join(names, F.col("node") == F.col("leaf"), "left").drop("node", "leaf")
+    names = [(node, i) for i, node in enumerate(order)]
+    return _at_node(assign(points, tree), names, "leaf long, shard int").drop("node", "leaf")
 
 
 def slots(sharded: DataFrame) -> DataFrame:
