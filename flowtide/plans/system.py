@@ -36,9 +36,10 @@ class FlowSystem:
     carried: list[str] = field(default_factory=lambda: ["src_ip", "dst_ip"])
 
     def load_csv(self, path: str) -> DataFrame:
-        """Raw records with an id made of the record itself, the same on every read."""
-        flows = files.normalise_flows(files.scan_flow_csv(self.spark, path))
-        return flows.withColumn(self.row_id, F.xxhash64(*flows.columns))
+        """Raw records with an id, written once: equal records have different ids, and the same on every read.
+        Rows that do not fit the schema are stored apart."""
+        flows = files.normalise_flows(files.scan_flow_csv(self.spark, path, f"{self.base}/bad_rows"))
+        return materialize(flows.withColumn(self.row_id, F.monotonically_increasing_id()), "records")
 
     def preprocess_training(self, flows: DataFrame, share: float = TRAINING_SHARE, min_score: float = 0.0) -> DataFrame:
         """Sample, prune, clean, engineer and select features; profiles before and after are stored."""

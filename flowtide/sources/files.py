@@ -15,13 +15,17 @@ from flowtide.session import path_exists
 _BAD_ROW = "_corrupt_record"
 
 
-def scan_flow_csv(spark: SparkSession, path: str, keep_bad_rows: bool = False) -> DataFrame:
-    """Raw flow records under the fixed schema; malformed rows are dropped or kept aside."""
-    reader = spark.read.option("header", True)
-    if not keep_bad_rows:
-        return reader.option("mode", "DROPMALFORMED").schema(FLOW_SCHEMA).csv(path)
+def scan_flow_csv(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Flow records under the fixed schema. Rows that do not fit it are left out, always the same ones
+    whatever columns are read later; with ``quarantine`` they are written there as they came."""
     schema = T.StructType([*FLOW_SCHEMA.fields, T.StructField(_BAD_ROW, T.StringType())])
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD_ROW).schema(schema).csv(path)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    rows = reader.option("columnNameOfCorruptRecord", _BAD_ROW).schema(schema).csv(path)
+    # always true, but it makes Spark parse every column, so a bad row is found whatever a query reads
+    read = F.xxhash64(*[F.col(f"`{f.name}`") for f in FLOW_SCHEMA.fields]) >= F.lit(-(1 << 63))
+    if quarantine:
+        rows.where(F.col(_BAD_ROW).isNotNull() & read).select(_BAD_ROW).write.mode("overwrite").text(quarantine)
+    return rows.where(F.col(_BAD_ROW).isNull() & read).drop(_BAD_ROW)
 
 
 def normalise_flows(raw: DataFrame) -> DataFrame:
