@@ -15,7 +15,7 @@ from flowtide.sources import adapters
 NATIVE = sorted(
     set(entry.oracle_sql())
     - {"knn_join", "knn_join_manhattan", "knn_join_chebyshev", "cosine_topk", "knn_classify", "resolve_ties"}
-    - {n for n in entry.oracle_sql() if n.startswith("stream_")}
+    - {n for n in entry.oracle_sql() if n.startswith("stream_") or re.match(r"op\d+_|pipeline", n)}
 )
 HEAVY = {"knowledge_append", "rule_sink", "scan_flows", "dataset_roundtrip", "report_rows", "flow_stats_explode"}
 
