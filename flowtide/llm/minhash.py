@@ -1,14 +1,16 @@
 """Near-duplicate groups: one-permutation hashing with optimal densification, banded buckets, star edges.
 
 One pass over the texts writes a row of band keys and a 128-bit fingerprint of each whole shingle set.
-Equal sets form a class with one representative, so copies never meet in a bucket. Within a bucket every
-representative is tied to one centre only, which bounds the candidates by the bucket rows; tied pairs are
-confirmed on whole sets. Further rounds take buckets that still hold several components, and tie the
-members of the other components to a centre out of the smallest one.
-
-With 64 bands of 8 rows a pair at a similarity of 0.8 shares no band with a probability of 8e-6. The stars
-are not all pairs: a link between two members of a bucket is found if one of them is a centre, or if both
-are joined over others.
+Equal sets form a class with one representative, so copies never meet in a bucket. In the first round the
+members of a bucket are tied to one centre; tied pairs are confirmed on whole sets. Further rounds take the
+buckets whose other members still belong to several components, and tie centres out of the smaller ones to
+the members of the rest. A centre is tested against every other component of its bucket and leaves it, so
+the rounds end when no pair of a shared bucket that could join two components is untested; the number of
+centres grows from round to round, so there are few rounds.
+
+With 64 bands of 8 rows a pair at a similarity of 0.8 shares no band with a probability of 8e-6. Pairs
+inside one component are not tested, as they change nothing; the work can grow with the square of a bucket
+only as far as its members are no near duplicates of each other.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from flowtide.llm.sketches import band_keys, fingerprint, one_permutation, shing
 from flowtide.session import materialize
 
 BANDS, ROWS = 64, 8
+#: From the third round on a bucket has so many times the centres of the round before.
+GROWTH = 4
 #: Texts that are held as sketches at a time.
 BLOCK = 256
 
@@ -93,27 +97,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _star(live: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Candidate pairs of one round: in each bucket, a centre and the members of other components."""
+def _chosen(open_: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Rows of the buckets whose untested members belong to several components, with ``part``, their
+    component, and ``centre``: the first of a smallest component, and a growing sample of those outside the
+    largest one."""
     if labels is None:
-        rows = live.withColumn("part", F.col("rep"))
-        order = F.struct(F.lit(0).alias("n"), F.col("rep").alias("h"), F.col("rep"), F.col("part"))
-        centres = rows.groupBy("bucket").agg(F.min(order).alias("c"))
+        rows = open_.withColumn("part", F.col("rep"))
     else:
         roots = labels.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-        rows = live.join(roots, "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part"))
-        parts = rows.groupBy("bucket", "part").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"))).alias("first"))
-        centres = parts.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("parts"),
-            F.min(F.struct("n", F.col("first.h").alias("h"), F.col("first.rep").alias("rep"), "part")).alias("c"),
-        ).where(F.col("parts") > 1)
-    tied = rows.join(centres.select("bucket", "c"), "bucket").where(F.col("part") != F.col("c.part"))
-    return tied.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        rows = open_.join(roots, "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("part"))
+    rows = rows.withColumn("h", F.xxhash64("rep", F.lit(turn)))
+    parts = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "rep")).alias("first"))
+    several = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("most"),
+        F.min(F.struct("n", F.col("first.h").alias("h"), F.col("first.rep").alias("rep"))).alias("c"),
+    ).where(F.col("parts") > 1).drop("parts")
+    # one centre in the first two rounds, as most links are found then; later all but the largest component in a few rounds
+    drawn = F.pmod("h", F.col("all") - F.col("most.n")) < (GROWTH ** (turn - 1) if turn > 1 else 0)
+    return rows.join(several, "bucket").select(
+        "bucket", "rep", "size", "part", ((F.col("rep") == F.col("c.rep")) | ((F.col("part") != F.col("most.part")) & drawn)).alias("centre"))
+
+
+def _star(chosen: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of one round: in each bucket the centres and the members of other components, as
+    far as their sizes admit the similarity."""
+    centres = chosen.where("centre").select("bucket", F.col("rep").alias("c"), F.col("size").alias("c_size"), F.col("part").alias("c_part"))
+    tied = chosen.join(centres, "bucket").where(
+        (F.col("part") != F.col("c_part")) & (100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size")))
+    return tied.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 3
+    docs: DataFrame, words: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -125,25 +140,30 @@ def near_duplicates(
     sketch = materialize(sketched(docs, words, bands, rows), "sketches")
     named = sketch.where(F.col("fingerprint").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(
-        named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+        named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("size")), "classes")
+    buckets = classes.select("rep", "size", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
     live = materialize(buckets.join(shared, "bucket"), "buckets")
     wanted = materialize(classes.select("rep", "fingerprint").join(live.select("rep").distinct(), "rep", "left_semi"), "wanted")
     sets = materialize(_whole_sets(docs, wanted, words), "sets")
 
-    labels, links, tested = None, None, None
-    for turn in range(rounds):
-        pairs = _star(live, labels, turn)
+    # a centre leaves its bucket tested against every other component, so what is left shrinks until it holds one at most
+    labels, tested, turn = None, None, 0
+    while True:
+        chosen = materialize(_chosen(live, labels, turn), "chosen")
+        if turn and chosen.isEmpty():
+            break
+        pairs = _star(chosen, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         new = materialize(confirmed(pairs, sets, percent), "confirmed")
-        if turn and new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        if labels is None:
+            labels = components(new)
+        elif not new.isEmpty():
+            labels = components(labels.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
+        live, turn = chosen.where(~F.col("centre")).select("bucket", "rep", "size"), turn + 1
 
     roots = labels.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     of_class = classes.select("fingerprint", "rep").join(roots, "rep", "left").select(

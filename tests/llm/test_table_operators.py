@@ -77,6 +77,29 @@ def test_chain_through_a_hub(spark):
     assert got == {0}
 
 
+def test_many_groups_in_the_same_buckets(spark):
+    """Pairs that share only words of one base text, in buckets they share with all others: they outnumber any few centres."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(300)]
+    rows, whole = [], np.ones((500, 299), np.float32)
+    for k in range(250):
+        places = rng.choice(300, 12, replace=False)
+        for doc in (2 * k, 2 * k + 1):
+            edited = list(base)
+            for i in places:
+                edited[i] = f"x{doc}_{i}"
+                whole[doc, max(i - 1, 0) : i + 1] = 0
+            rows.append((doc, " ".join(edited), "en", "s"))
+    both = whole @ whole.T
+    root = list(range(500))
+    for a, b in np.argwhere(both >= 0.8 * (2 * 299 - both)).tolist():
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if r == old else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, rows)).collect()}
+    assert got == dict(enumerate(root))
+    assert 100 < len(set(root)) <= 250
+
+
 def test_deduplicated_keeps_one_of_each_group(edge, edge_rows):
     kept = minhash.deduplicated(edge)
     assert kept.columns == edge.columns
