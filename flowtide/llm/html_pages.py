@@ -2,25 +2,28 @@
 
 Only block elements are kept on the stack. A new paragraph, list item or cell ends an open one, an end tag
 ends everything inside its element, and one without a start is ignored, so unclosed or crossed inline tags
-do no harm. A quoted attribute is looked for over 20,000 characters, which bounds the work on broken markup; a
-tag with a longer one ends at its first closing bracket.
+do no harm. Quoted attributes have any length; places from which no tag can end are remembered, so that broken
+markup is scanned in linear time. A tag with an unclosed quote ends at its first closing bracket.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|textarea|title)\b(?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+>"
-    r".*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>"
-    r"|</?[a-zA-Z][^<>]*>|<[!?/][^<>]*>|</?[a-zA-Z][^<>]*\Z",
+    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|textarea|title)\b"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
+    r"|<[!?/][^<>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_BARE = re.compile(r"</?[a-zA-Z][^<>]*(?:>|\Z)")
+_PLAIN = re.compile(r"[^<>\"']*+")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NAMES = frozenset("class id role style hidden aria-hidden".split())
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -73,7 +76,49 @@ class _Open:
 
 
 def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(source)} if source.strip() else {}
+    if not source.strip():
+        return {}
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(source) if m[1] and m[1].lower() in _NAMES}
+
+
+def _tag_end(html: str, at: int, failed: set[int]) -> int:
+    """Place of the bracket that closes a tag whose attributes start at ``at``, or -1. ``failed`` are places of quotes
+    from which there is none; each is looked at once."""
+    seen = []
+    while True:
+        at = _PLAIN.match(html, at).end()
+        if html.startswith(">", at):
+            return at
+        if at == len(html) or html[at] == "<" or at in failed:
+            break
+        seen.append(at)
+        at = html.find(html[at], at + 1) + 1
+        if not at:
+            break
+    failed.update(seen)
+    return -1
+
+
+def _tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Start, end, tag, whether it is an end tag, and attributes; without a tag what is no text."""
+    at, failed = 0, set()
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        if m["raw"] or m["tag"]:
+            close = _tag_end(html, at, failed)
+            if close < 0:
+                bare = _BARE.match(html, m.start())
+                if bare:
+                    at = bare.end()
+                    yield m.start(), at, None, False, ""
+                continue
+            attributes, at = html[at:close], close + 1
+            if m["tag"]:
+                yield m.start(), at, m["tag"].lower(), bool(m["end"]), attributes
+                continue
+            over = re.compile(rf"</{m['raw']}\s*>", re.IGNORECASE).search(html, at)
+            at = over.end() if over else len(html)
+        yield m.start(), at, None, False, ""
 
 
 def _words(names: str) -> list[str]:
@@ -123,20 +168,18 @@ def parse(html: str) -> Page:
             pieces.clear()
         links = 0
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
+    for start, end, tag, ends_one, attrs in _tokens(html):
+        if start > at:
+            piece = html[at:start]
             pieces.append(piece)
             if in_link:
                 links += len(piece.strip())
-        at = m.end()
-        tag = m["tag"]
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = 0 if ends_one else 1
             continue
         if tag == "br":
             pieces.append(" ")
@@ -146,7 +189,7 @@ def parse(html: str) -> Page:
                 close_block()
             continue
         close_block()
-        if m["end"]:
+        if ends_one:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
@@ -163,9 +206,9 @@ def parse(html: str) -> Page:
                     break
                 if stack[depth].tag in ("ul", "ol", "dl", "table"):
                     break
-        if m["attrs"].endswith("/") and tag not in CONTAINERS:
+        if attrs.endswith("/") and tag not in CONTAINERS:
             continue
-        attributes = _attributes(m["attrs"])
+        attributes = _attributes(attrs)
         top = stack[-1]
         holder = top.holder
         article = top.article or tag in ("article", "main")

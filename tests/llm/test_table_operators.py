@@ -241,6 +241,14 @@ def test_extraction():
     assert html_consensus.extract("<p>a</p>" + "<b '" * 3000, [])[0].startswith("a")
 
 
+def test_long_attributes():
+    state = '{"a>b": "<p>", "hidden": 1}' * 2000
+    page = f"<article><p>one</p><div class='comments' data-state='{state}'><p>reader</p></div><p>two</p><script data-x='{state}'>var x</script></article>"
+    assert html_consensus.extract(page, [])[0] == "one\ntwo"
+    assert html_consensus.extract(f"<article data-state='{state}'><p>one</p></article>", [])[0] == "one"
+    html_consensus.extract("<b '\"' \"" * 100_000 + "<b \"'<b '\"" * 100_000, [])
+
+
 def test_host_paths_win(spark):
     body = "<html><body><div class='story s{i}'><p>{text}</p></div><div class='extra'><p>{extra}</p></div></body></html>"
     pages = [(i, f"http://h.example/{i}", body.format(i=i, text="main text " * 30, extra="short")) for i in range(30)]
