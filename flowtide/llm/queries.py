@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowtide.llm import decontamination, license_diagonals, secret_ownership
+from flowtide.llm import conversation_trie, decontamination, license_diagonals, secret_ownership
 from flowtide.llm.html_consensus import extracted_pages
 from flowtide.llm.kd_sharding import shard_documents
 from flowtide.llm.language_kernel import languages
@@ -91,6 +91,11 @@ def op10_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), 8)
 
 
+@query("op13_conversation_trie", conversation_trie.SQL)
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
