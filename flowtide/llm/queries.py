@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowtide.llm import conversation_trie, decontamination, license_diagonals, secret_ownership
+from flowtide.llm import conversation_trie, decontamination, license_diagonals, periodic_runs, secret_ownership
 from flowtide.llm.html_consensus import extracted_pages
 from flowtide.llm.kd_sharding import shard_documents
 from flowtide.llm.language_kernel import languages
@@ -91,6 +93,27 @@ def op10_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), 8)
 
 
+def stuttered(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """For a tenth of the documents the words from one place on repeat a few of them."""
+    h = 0 if doc_id is None else crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g = h // 10
+    start = g % len(words)
+    period = 1 + (len(words) - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(len(words) - start)]
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, folder, "documents"), stuttered)
+    runs, best = F.col("runs"), F.col("longest")
+    return found.withColumn("longest", periodic_runs.longest(runs)).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(runs), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("op13_conversation_trie", conversation_trie.SQL)
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
