@@ -16,6 +16,7 @@ from flowtide.llm.minhash import near_duplicates
 from flowtide.llm.quality_rules import quality_report
 from flowtide.llm.temperature_mixing import mixture
 from flowtide.llm.token_histogram import token_lengths
+from flowtide.llm.toxicity import toxicity
 from flowtide.plans.registry import QueryFn
 from flowtide.session import table
 
@@ -114,6 +115,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(periodic_runs.listed(runs), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query("op12_toxicity_gru")
+def op12_toxicity_gru(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op13_conversation_trie", conversation_trie.SQL)
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
