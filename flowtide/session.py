@@ -59,7 +59,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor never forces the whole lineage to run again."""
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by ``materialize`` once all that read them has been written itself."""
+    for table in tables:
+        path, spark = table._written_to, table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
