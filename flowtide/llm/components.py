@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.session import materialize
+from flowtide.session import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = _state(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        discard(last)
         after = _state(edges)
         if after == before:
             break

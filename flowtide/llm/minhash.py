@@ -1,16 +1,18 @@
 """Near-duplicate groups: one-permutation hashing with optimal densification, banded buckets, star edges.
 
 One pass over the texts writes a row of band keys and a 128-bit fingerprint of each whole shingle set.
-Equal sets form a class with one representative, so copies never meet in a bucket. In the first round the
-members of a bucket are tied to one centre; tied pairs are confirmed on whole sets. Further rounds take the
-buckets whose other members still belong to several components, and tie centres out of the smaller ones to
-the members of the rest. A centre is tested against every other component of its bucket and leaves it, so
-the rounds end when no pair of a shared bucket that could join two components is untested; the number of
-centres grows from round to round, so there are few rounds.
-
-With 64 bands of 8 rows a pair at a similarity of 0.8 shares no band with a probability of 8e-6. Pairs
-inside one component are not tested, as they change nothing; the work can grow with the square of a bucket
-only as far as its members are no near duplicates of each other.
+Equal sets form a class with one representative, so copies never meet in a bucket. In two rounds the members
+of a bucket are tied to one centre, the second time to one out of a smallest component, and tied pairs are
+confirmed on whole sets. That finds the groups; what is left are buckets whose members still belong to several
+components, and stars cannot rule out that two members other than the centre join them.
+
+These buckets are closed exactly by a prefix filter. The shingles of their members are ordered by how many
+members have them, the rarest first. Two sets at the similarity share one of the first fifth of either, and
+the first one they share stands so early in both that enough shingles follow. Near copies that are no near
+duplicates differ by rare shingles, so these take up their prefixes and hardly a pair is left. Only members
+of different components meet, and of a shingle's members those outside its largest component with the others.
+
+With 64 bands of 8 rows a pair at a similarity of 0.8 shares no band with a probability of 8e-6.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.llm.components import components
 from flowtide.llm.sketches import band_keys, fingerprint, one_permutation, shingle_set
-from flowtide.session import materialize
+from flowtide.session import discard, materialize
 
 BANDS, ROWS = 64, 8
-#: From the third round on a bucket has so many times the centres of the round before.
-GROWTH = 4
+#: Rounds of star edges.
+ROUNDS = 2
 #: Texts that are held as sketches at a time.
 BLOCK = 256
 
@@ -97,36 +99,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _chosen(open_: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Rows of the buckets whose untested members belong to several components, with ``part``, their
-    component, and ``centre``: the first of a smallest component, and a growing sample of those outside the
-    largest one."""
+def _parted(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """bucket, rep, size and ``part``, the component so far, of the buckets with several parts; ``centre`` marks
+    one member of a smallest part."""
     if labels is None:
-        rows = open_.withColumn("part", F.col("rep"))
+        rows = live.withColumn("part", F.col("rep"))
     else:
         roots = labels.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-        rows = open_.join(roots, "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("part"))
-    rows = rows.withColumn("h", F.xxhash64("rep", F.lit(turn)))
+        rows = live.join(roots, "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("part"))
+    rows = rows.withColumn("h", F.xxhash64("rep"))
     parts = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "rep")).alias("first"))
     several = parts.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("most"),
-        F.min(F.struct("n", F.col("first.h").alias("h"), F.col("first.rep").alias("rep"))).alias("c"),
+        F.count(F.lit(1)).alias("parts"), F.min(F.struct("n", F.col("first.h").alias("h"), F.col("first.rep").alias("rep"))).alias("c"),
     ).where(F.col("parts") > 1).drop("parts")
-    # one centre in the first two rounds, as most links are found then; later all but the largest component in a few rounds
-    drawn = F.pmod("h", F.col("all") - F.col("most.n")) < (GROWTH ** (turn - 1) if turn > 1 else 0)
-    return rows.join(several, "bucket").select(
-        "bucket", "rep", "size", "part", ((F.col("rep") == F.col("c.rep")) | ((F.col("part") != F.col("most.part")) & drawn)).alias("centre"))
+    return rows.join(several, "bucket").select("bucket", "rep", "size", "part", (F.col("rep") == F.col("c.rep")).alias("centre"))
 
 
-def _star(chosen: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of one round: in each bucket the centres and the members of other components, as
-    far as their sizes admit the similarity."""
-    centres = chosen.where("centre").select("bucket", F.col("rep").alias("c"), F.col("size").alias("c_size"), F.col("part").alias("c_part"))
-    tied = chosen.join(centres, "bucket").where(
+def _star(parted: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of one round: in each bucket the centre and the members of other components, as far as
+    their sizes admit the similarity."""
+    centres = parted.where("centre").select("bucket", F.col("rep").alias("c"), F.col("size").alias("c_size"), F.col("part").alias("c_part"))
+    tied = parted.join(centres, "bucket").where(
         (F.col("part") != F.col("c_part")) & (100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size")))
     return tied.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
 
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, part, size, shingle and its place (from 1) among the shingles of the set in order of rarity, for those
+    in the prefix that members of several parts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                lists = [np.frombuffer(s.as_buffer(), np.int64) for s in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    listed = sets.join(members.select("rep"), "rep", "left_semi").select("rep", "shingles").mapInArrow(run, "rep long, shingles array<long>")
+    shingles = materialize(members.join(listed, "rep").select("rep", "part", "size", F.explode("shingles").alias("shingle")), "shingles")
+    # a shingle of one member alone is in no pair, but takes a place
+    common = shingles.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("n") > 1)
+    own = Window.partitionBy("rep")
+    ranked = shingles.join(common, "shingle").withColumns({
+        "alone": F.col("size") - F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("n", "shingle"))})
+    place = F.col("alone") + F.col("rank")
+    out = materialize(
+        ranked.where((100 * (F.col("size") - place + 1) >= percent * F.col("size")) & (F.col("low") < F.col("high")))
+        .select("rep", "part", "size", "shingle", place.alias("place")), "prefixes")
+    discard(shingles)
+    return out
+
+
+def _filtered(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different parts: all that can reach the similarity are among them."""
+    by_part = prefixes.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = by_part.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("most")).select("shingle", F.col("most.part").alias("most"))
+    others = prefixes.join(largest, "shingle").where(F.col("part") != F.col("most")).select(
+        "shingle", F.col("rep").alias("o"), F.col("part").alias("o_part"), F.col("size").alias("o_size"), F.col("place").alias("o_place"))
+    after = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place")) + 1
+    met = prefixes.withColumnRenamed("shingle", "s").join(
+        others, (F.col("s") == F.col("shingle")) & (F.col("part") != F.col("o_part"))
+        & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
+        & ((100 + percent) * after >= percent * (F.col("size") + F.col("o_size"))))
+    return met.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -146,24 +184,25 @@ def near_duplicates(
     live = materialize(buckets.join(shared, "bucket"), "buckets")
     wanted = materialize(classes.select("rep", "fingerprint").join(live.select("rep").distinct(), "rep", "left_semi"), "wanted")
     sets = materialize(_whole_sets(docs, wanted, words), "sets")
+    discard(wanted)
 
-    # a centre leaves its bucket tested against every other component, so what is left shrinks until it holds one at most
-    labels, tested, turn = None, None, 0
-    while True:
-        chosen = materialize(_chosen(live, labels, turn), "chosen")
-        if turn and chosen.isEmpty():
-            break
-        pairs = _star(chosen, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    def linked(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
         new = materialize(confirmed(pairs, sets, percent), "confirmed")
-        if labels is None:
-            labels = components(new)
-        elif not new.isEmpty():
-            labels = components(labels.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
-        live, turn = chosen.where(~F.col("centre")).select("bucket", "rep", "size"), turn + 1
+        found = components(new if labels is None else labels.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
+        discard(pairs, new, *([] if labels is None else [labels]))
+        return found
+
+    labels = None
+    for _ in range(ROUNDS):
+        parted = materialize(_parted(live, labels), "parted")
+        discard(live)
+        labels, live = linked(_star(parted, percent), labels), parted.select("bucket", "rep", "size")
+        live._written_to = parted._written_to
+    members = materialize(_parted(live, labels).select("rep", "part", "size").distinct(), "members")
+    prefixes = _prefixes(members, sets, percent)
+    labels = linked(_filtered(prefixes, percent), labels)
+    discard(live, members, prefixes, sets)
 
     roots = labels.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     of_class = classes.select("fingerprint", "rep").join(roots, "rep", "left").select(

@@ -326,3 +326,25 @@ def test_pipeline_with_odd_rows(spark, small, edge, edge_rows, nothing):
     assert {1, 4, 8} <= kept and not kept & {2, 3, 5, 6, 7, 12}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, small).count() == 0
+
+
+def test_prefix_filter_keeps_every_link(spark):
+    """All pairs of different parts that reach the similarity are candidates, and few others."""
+    rng = np.random.default_rng(8)
+    base = np.arange(1, 400)
+    sets = {}
+    for rep in range(300):
+        kept = base[rng.random(len(base)) > rng.choice([0.02, 0.06, 0.12, 0.2])]
+        sets[rep] = np.unique(np.concatenate((kept, 10_000 + rep * 1000 + np.arange(rng.integers(0, 60))))).astype(np.uint64)
+    parts = {rep: int(rng.choice([0, 0, 0, rep])) for rep in sets}
+    members = spark.createDataFrame([(r, parts[r], len(s)) for r, s in sets.items()], "rep long, part long, size long")
+    table = spark.createDataFrame([(r, bytearray(s.tobytes())) for r, s in sets.items()], "rep long, shingles binary")
+    got = {tuple(r) for r in minhash._filtered(minhash._prefixes(members, table, 80), 80).collect()}
+    cross = [(a, b) for a in sets for b in sets if a < b and parts[a] != parts[b]]
+    links = set()
+    for a, b in cross:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            links.add((a, b))
+    assert links <= got <= set(cross) and len(links) > 100
+    assert len(got) < len(links) + 0.5 * (len(cross) - len(links))
