@@ -13,13 +13,15 @@ from flowtide.plans.registry import query
 from flowtide.session import fresh_path
 from flowtide.sources import adapters
 from flowtide.streaming import streams
+from flowtide.streaming.trailing import trailing
 
 
-def _run_landed(spark, folder, start, parts=3):
+def _run_landed(spark, folder, start, parts=3, closing=None):
     """Run ``start(stream of flows)`` to its end once for each of equal spans of time, landed in order.
 
     A trigger takes all files of a span, so it does not matter how many there are and in which order
-    they were written; the checkpoint carries the state from span to span. Returns the last run.
+    they were written; the checkpoint carries the state from span to span. ``closing`` is the distance behind
+    the last flow of a last row without anything but a time, which ends the stream. Returns the last run.
     """
     flows = adapters.flows(spark, folder)
     landing = fresh_path(spark, "flows-landing")
@@ -31,6 +33,12 @@ def _run_landed(spark, folder, start, parts=3):
         part.write.mode("append").parquet(landing)
         run = start(spark.readStream.schema(flows.schema).parquet(landing))
         run.awaitTermination()
+    if closing:
+        nothing = [F.max(F.lit(None).cast(f.dataType)).alias(f.name) for f in flows.schema if f.name != "ts"]
+        last = flows.agg((F.max("ts") + F.expr(f"INTERVAL {closing}")).alias("ts"), *nothing).select(flows.columns)
+        last.where(F.col("ts").isNotNull()).write.mode("append").parquet(landing)
+        run = start(spark.readStream.schema(flows.schema).parquet(landing))
+        run.awaitTermination()
     return run
 
 
@@ -60,21 +68,19 @@ def stream_flows(spark, folder):
 
 @query(
     "stream_rolling",
-    f"""SELECT flow_id, n, ports, bytes FROM (
-         SELECT flow_id, ts, CAST(count(dst_port) OVER w AS BIGINT) AS n, CAST(count(DISTINCT dst_port) OVER w AS BIGINT) AS ports,
-           round(sum(flow_bytes_s) OVER w, 6) AS bytes FROM flows WINDOW w AS {SRC})
-       WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM flows)""",
+    f"""SELECT flow_id, CAST(count(dst_port) OVER w AS BIGINT) AS n, CAST(count(DISTINCT dst_port) OVER w AS BIGINT) AS ports,
+         round(sum(flow_bytes_s) OVER w, 6) AS bytes FROM flows WINDOW w AS {SRC}""",
     "flows",
 )
 def stream_rolling(spark, folder):
-    """Trailing features of the rows that are final when the stream ends, an hour before the latest."""
+    """Trailing features of every row; a row that ends the stream makes the last ones final."""
     features = [Rolling("n", "count", "dst_port"), Rolling("ports", "nunique", "dst_port"), Rolling("bytes", "sum", "flow_bytes_s")]
     out, log = fresh_path(spark, "trailing"), fresh_path(spark, "trailing-log")
 
     def start(flows):
-        return streams.write_stream(streams.trailing(_utc(flows), "src_ip", "flow_id", features, DAY, "1 hour"), out, log)
+        return streams.write_stream(trailing(_utc(flows), "src_ip", "flow_id", features, DAY, "1 hour"), out, log)
 
-    _run_landed(spark, folder, start)
+    _run_landed(spark, folder, start, closing="3 DAYS")
     return spark.read.parquet(out).select("flow_id", "n", "ports", F.round("bytes", 6).alias("bytes"))
 
 

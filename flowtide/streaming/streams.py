@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowtide.functions.timing import event_micros, window_micros
 from flowtide.operators.live import append_rules, live_flows
-from flowtide.operators.rolling import Rolling
 from flowtide.operators.rules import rule_key
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on disk, which list state and timers need."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
 
 def poll_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:
     """Flow-statistics polls arriving as files of JSON lines."""
@@ -32,14 +42,15 @@ def flow_stream(polls: DataFrame) -> DataFrame:
 
 def write_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Everything available now to parquet, exactly once."""
-    return (
-        df.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode(mode)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with rocks(df.sparkSession):
+        return (
+            df.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .outputMode(mode)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -51,93 +62,42 @@ def each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     )
 
 
+def row_counts(*runs: StreamingQuery) -> dict[str, int]:
+    """Rows read, emitted and late of all runs of one stream, and copies it left out, added up over their batches.
+
+    ``trailing`` marks its late rows. ``unique_rules`` has the watermark drop them, which Spark counts row by row.
+    ``rates`` counts after rows are added up, so there the rows of a stream that has ended are late if they are in
+    no emitted window.
+    """
+    total: dict[str, int] = {}
+
+    def add(name: str, value: int | None) -> None:
+        total[name] = total.get(name, 0) + (value or 0)
+
+    for progress in (p for run in runs for p in run.recentProgress):
+        observed = {name: row.asDict() for name, row in progress.observedMetrics.items()}
+        add("read", observed.get("read", {}).get("rows"))
+        add("emitted", observed.get("emitted", {}).get("rows"))
+        late = observed.get("emitted", {}).get("late")
+        for operator in progress.stateOperators:
+            if operator.operatorName == "dedupeWithinWatermark":
+                late = (late or 0) + operator.numRowsDroppedByWatermark
+                add("copies", operator.customMetrics.get("numDroppedDuplicateRows"))
+        add("late", late)
+    return total
+
+
 def rates(df: DataFrame, key: str, window: str, delay: str, slide: str | None = None, ts: str = "ts") -> DataFrame:
     """Flows and bytes per key and event-time window; a window is final once the watermark
     passes its end, and rows later than that are dropped."""
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
     return (
-        df.withWatermark(ts, delay)
+        df.observe("read", F.count(F.col(key)).alias("rows"))
+        .withWatermark(ts, delay)
         .groupBy(span.alias("span"), F.col(key))
         .agg(F.count(F.lit(1)).alias("n_flows"), F.sum("flow_bytes_s").alias("bytes_s"))
         .select(key, F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), "n_flows", "bytes_s")
-    )
-
-
-def _trailing_values(us: np.ndarray, low: np.ndarray, high: np.ndarray, kind: str, values: np.ndarray) -> np.ndarray:
-    """One feature over the rows ``low`` to ``high`` (exclusive) of each row; nan is a missing value."""
-    known = ~np.isnan(values)
-    if kind == "nunique":
-        out, counts, distinct, left, right = np.zeros(len(low)), {}, 0, 0, 0
-        for i, (start, end) in enumerate(zip(low, high)):  # both only grow
-            for j in range(right, end):
-                if known[j]:
-                    counts[values[j]] = counts.get(values[j], 0) + 1
-                    distinct += counts[values[j]] == 1
-            for j in range(left, start):
-                if known[j]:
-                    counts[values[j]] -= 1
-                    distinct -= counts[values[j]] == 0
-            left, right, out[i] = start, end, distinct
-        return out
-    upto = np.concatenate(([0.0], np.cumsum(known if kind == "count" else np.where(known, values, 0.0))))
-    return upto[high] - upto[low]
-
-
-def trailing(
-    df: DataFrame, key: str, row_id: str, features: Sequence[Rolling], window: str, delay: str, ts: str = "ts"
-) -> DataFrame:
-    """Exact trailing-window counts, distinct counts and sums of a stream, in Spark's own keyed state.
-
-    A row is final when the watermark (latest time seen less ``delay``) has passed it: every row that could
-    share its frame has then arrived. The state of a key holds the rows of its last window; a timer wakes
-    it when its next row becomes final, and forgets it when its window is over. Later rows are dropped by
-    the watermark; rows without a key have no features. The rows within ``delay`` of the latest time stay in the state when a run ends.
-    """
-    span = window_micros(window)
-    fields = [f"v{i}" for i in range(len(features))]
-    rows = df.select(
-        F.col(key).alias("key"), F.col(row_id).cast("long").alias("row_id"), event_micros(df, ts).alias("us"), F.col(ts).alias("at"),
-        *[F.col(f.column).cast("double").alias(v) for f, v in zip(features, fields)],
-    ).where(F.col("us").isNotNull())
-
-    def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["us", "row_id", *fields]
-        done, held = -(1 << 62), []
-        if state.exists:
-            done, *lists = state.get
-            held.append(pd.DataFrame(dict(zip(columns, lists))))
-        held += [p[columns] for p in parts]
-        mark = state.getCurrentWatermarkMs() * 1000
-        table = pd.concat(held).astype({v: "float64" for v in fields}).sort_values(["us", "row_id"], kind="stable")
-        us = table["us"].to_numpy("int64")
-        low, high = np.searchsorted(us, us - span, "right"), np.searchsorted(us, us, "right")
-        ready = (us >= done) & (us < mark)
-        if ready.any():
-            out = {"key": [group[0]] * int(ready.sum()), "row_id": table["row_id"].to_numpy()[ready]}
-            for f, v in zip(features, fields):
-                out[f.name] = _trailing_values(us, low, high, f.kind, table[v].to_numpy())[ready]
-            yield pd.DataFrame(out)
-        keep = table[us > mark - span]
-        if not len(keep):
-            state.remove()
-            return
-        pending = us[us >= mark]
-        wake = pending[0] // 1000 if len(pending) else (us[-1] + span) // 1000 + 1
-        state.update((max(done, mark), *[keep[c].tolist() for c in columns]))
-        state.setTimeoutTimestamp(max(int(wake), mark // 1000 + 1))
-
-    return (
-        rows.withWatermark("at", delay)
-        .groupBy("key")
-        .applyInPandasWithState(
-            run,
-            ", ".join([f"key {df.schema[key].dataType.simpleString()}", "row_id long", *[f"{f.name} double" for f in features]]),
-            ", ".join(["done long", "us array<long>", "row_id array<long>", *[f"{v} array<double>" for v in fields]]),
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-        .withColumnsRenamed({"key": key, "row_id": row_id})
-        .withColumns({f.name: F.when(F.col(key).isNotNull(), F.col(f.name).cast("double" if f.kind == "sum" else "long")) for f in features})
+        .observe("emitted", F.sum(F.when(F.col(key).isNotNull(), F.col("n_flows"))).alias("rows"))
     )
 
 
@@ -153,7 +113,8 @@ def unique_rules(rules: DataFrame, ts: str, horizon: str, salts: int = 16) -> Da
             "salt": F.pmod(F.xxhash64(F.col(ts)), F.lit(salts)),
         }
     )
-    return keyed.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["rule_key", "salt"])
+    counted = keyed.observe("read", F.count(F.lit(1)).alias("rows")).withWatermark(ts, horizon)
+    return counted.dropDuplicatesWithinWatermark(["rule_key", "salt"]).observe("emitted", F.count(F.lit(1)).alias("rows"))
 
 
 def store_rules(path: str) -> Callable[[DataFrame, int], None]:
