@@ -348,3 +348,52 @@ def test_prefix_filter_keeps_every_link(spark):
             links.add((a, b))
     assert links <= got <= set(cross) and len(links) > 100
     assert len(got) < len(links) + 0.5 * (len(cross) - len(links))
+
+
+LONG = "word and more words of the article, " * 12
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<article><h1>Title</h1><p>lead</p><div class=body><p>{LONG}</p><p>{LONG}</p></div><p>closing</p></article>", f"Title\nlead\n{LONG.strip()}\n{LONG.strip()}\nclosing"),
+    (f"<article><p>before</p><blockquote><p>{LONG}</p></blockquote><p>after</p></article>", f"before\n{LONG.strip()}\nafter"),
+    ('<article><h2 id="related-work">Related work</h2><p id="search-methods">a</p><h2 id="social-impact">Impact</h2></article>', "Related work\na\nImpact"),
+    ('<div class="form-factor"><p>The form factor is small.</p></div>', "The form factor is small."),
+    ('<article><p>See</p><ul><li><a href="/p">Python</a></li><li><a href="/s">Spark</a></li></ul></article>', "See\nPython\nSpark"),
+    ('<article><p>shown<span hidden> not shown</span> and <span class="ad">buy <b>now</b></span>on</p><p>next</p></article>', "shown and on\nnext"),
+    ('<article><p>a<span class="ad">unclosed</p><p>b</p></article>', "a\nb"),
+    ('<body><nav><a>x</a></nav><main><p>in main</p></main><article class="card"><p>a card</p></article></body>', "in main"),
+    ('<article><p>text</p><div class="comment-list"><p>nice</p></div><div id="cookie-banner"><p>ok?</p></div><p class="ad">buy</p></article>', "text"),
+    ('<article><p>text</p><article class="comment"><p>nice</p></article></article>', "text"),
+])
+def test_no_text_of_the_article_is_lost(html, text):
+    assert html_consensus.extract(html, [])[0] == text
+    assert html_consensus.extract(html, [">article", ">article>blockquote", ">article>div.body"])[0] == text
+
+
+def test_a_narrow_host_path_takes_nothing_away():
+    page = f"<body><article class=a><p>{LONG * 3}</p><div class=box><p>{LONG}</p></div></article></body>"
+    assert html_consensus.extract(page, [">body>article.a>div.box"])[0] == f"{(LONG * 3).strip()}\n{LONG.strip()}"
+
+
+def test_pages_without_an_article_lose_only_what_repeats(spark):
+    def page(i, extra=""):
+        return f"<body><div class=x><p>Welcome to my place</p></div><div class=t><h1>Title {i}</h1><p>Lead {i}</p></div><div class=c{i}><p>Text {i} {LONG}</p></div>{extra}<div class=x><p>All rights</p></div></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)]
+    rows += [(100 + i, f"http://h.example/copy{i}", page(0)) for i in range(10)]  # copies of a page repeat nothing
+    rows += [(200, "http://other.example/", page(7)), (201, None, page(8))]
+    got = {r["page_id"]: r["text"] for r in html_consensus.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(20):
+        assert got[i] == f"Title {i}\nLead {i}\nText {i} {LONG.strip()}"
+    assert {got[100 + i] for i in range(10)} == {got[0]}
+    assert got[200] == f"Welcome to my place\nTitle 7\nLead 7\nText 7 {LONG.strip()}\nAll rights"
+
+
+@pytest.mark.parametrize("unit, end", [("<div>", ""), ("<div>", "</section>"), ("<ul><li>", ""), ("<span class=ad>", ""), ("<div class='c1 c2'>", "</div>")])
+def test_deep_pages_take_linear_time(unit, end):
+    import time
+
+    start = time.process_time()
+    text = html_consensus.extract("<article><p>top</p>" + unit * 100_000 + "deep" + end * 100_000 + "</article>", [">article>div"])[0]
+    assert text.startswith("top")
+    assert time.process_time() - start < 20
