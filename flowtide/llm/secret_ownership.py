@@ -1,19 +1,21 @@
 """Secret scans with corpus-wide ownership: who holds a candidate tells examples from live credentials.
 
 Every text is scanned once; candidates are kept as kind, place and a hash of the value. The hashes are
-counted by distinct repositories and owners over the whole corpus. A value that several owners hold is a
-copied example; one that a single owner holds and that mixes its characters like a generated key looks
-live. Fixed kinds are always reported, generic runs only where they look live.
+counted by distinct repositories and owners over the whole corpus. A value that several owners hold, or two
+of them in several repositories, is a copied example; any other that mixes its characters like a generated key
+looks live, in however many repositories its one owner has it. Fixed kinds are always reported, generic runs
+only where they look live.
 
 Counts are aggregated stepwise, (hash, repository, owner), then (hash, owner), then hash, each with partial
-sums before the shuffle, so a value that a third of all documents holds is a few rows.
+sums before the shuffle, so a value that a third of all documents holds is a few rows, and only the hashes of
+copied values go back to the places.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.session import materialize
@@ -45,95 +47,111 @@ FIXED = (
 #: Runs that may be a key; reported only if they look live.
 GENERIC = Kind("live", "[A-Za-z0-9_-]{20,}", 0, 20)
 KINDS = (*FIXED, GENERIC)
-#: Different characters a live-looking value has at least, and owners from which on it is a copied example.
-LIVE_CHARACTERS, COPIED_OWNERS = 8, 3
+#: Different characters a live-looking value has at least; owners from which on it is a copied example, and
+#: repositories from which on two owners are enough.
+LIVE_CHARACTERS, COPIED_OWNERS, COPIED_REPOSITORIES = 8, 3, 4
 
-_SPAN = "struct<start:long,kind_no:int,kind:string,end:long,value:string>"
-_NONE = f"array<{_SPAN}>"
+_SPAN = "struct<start:long,kind_no:int,kind:string,end:long>"
+_NONE = "array<struct<kind_no:int,n:int,gap:long,length:long,hash:string,kept:boolean,looks_live:boolean>>"
 
 
-def _matches(text: Column, number: int, kind: Kind) -> Column:
-    """Spans of one kind in order. The pieces between matches give the offsets, in code points."""
+def _looks_live(value: Column) -> Column:
+    return (
+        value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS)
+    )
+
+
+def _pieces(text: Column, number: int, kind: Kind) -> Column:
+    """Matches of one kind in order, each with the code points before it since the last one."""
     whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
     cut = F.arrays_zip(whole.alias("whole"), value.alias("value"), F.split(text, kind.pattern, -1).alias("before"))
-
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["before"])
-        end = start + F.coalesce(F.length(piece["whole"]), F.lit(0))
-        span = F.struct(
-            start.cast("long").alias("start"), F.lit(number).alias("kind_no"), F.lit(kind.name).alias("kind"),
-            end.cast("long").alias("end"), piece["value"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.array_append(state["spans"], span).alias("spans"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_NONE).alias("spans"))
-    walked = F.aggregate(cut, start, step)["spans"]
     # the text after the last match comes as a piece without one
-    kept = F.filter(walked, lambda s: F.length(s["value"]) >= kind.least)
-    return F.when(F.regexp_like(text, F.lit(kind.pattern)), kept).otherwise(F.array().cast(_NONE))
+    matches = F.filter(cut, lambda p: p["whole"].isNotNull())
 
+    def piece(p: Column, i: Column) -> Column:
+        live = _looks_live(p["value"])
+        kept = F.length(p["value"]) >= kind.least
+        if kind is GENERIC:
+            kept = kept & p["value"].rlike("[A-Z]") & p["value"].rlike("[a-z]") & live
+        return F.struct(
+            F.lit(number).alias("kind_no"), i.alias("n"), F.length(p["before"]).cast("long").alias("gap"), F.length(p["whole"]).cast("long").alias("length"),
+            F.sha2(p["value"], 256).alias("hash"), kept.alias("kept"), live.alias("looks_live"))
 
-def _looks_live(value: Column) -> Column:
-    return (
-        value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-        & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS)
-    )
+    found = F.transform(matches, piece).cast(_NONE)
+    return F.when(F.regexp_like(text, F.lit(kind.pattern)), found).otherwise(F.array().cast(_NONE))
 
 
 def scanned(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """One written row per document: row, doc_id, repository, owner, spans of all kinds, with the hash of
+    """One written row per document: row, doc_id, repository, owner, and pieces of all kinds, with the hash of
     each value in place of the value."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", repository.alias("repository"), owner.alias("owner"),
-        *[_matches(text, i, kind).alias(f"k{i}") for i, kind in enumerate(KINDS)],
-    )
-    base = F.concat(*[F.col(f"k{i}") for i in range(len(FIXED))])
-    generic = F.filter(f"k{len(FIXED)}", lambda g: (
-        g["value"].rlike("[A-Z]") & g["value"].rlike("[a-z]") & _looks_live(g["value"])
-        & ~F.exists(base, lambda b: (g["start"] < b["end"]) & (b["start"] < g["end"]))))
-    hashed = F.transform(F.array_sort(F.concat(base, generic)), lambda s: F.struct(
-        s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["kind"].alias("kind"), s["end"].alias("end"),
-        F.sha2(s["value"], 256).alias("hash"), _looks_live(s["value"]).alias("looks_live")))
-    return materialize(found.select("row", "doc_id", "repository", "owner", hashed.alias("spans")), "secrets")
-
-
-def ownership(found: DataFrame) -> DataFrame:
+        F.concat(*[_pieces(text, i, kind) for i, kind in enumerate(KINDS)]).alias("pieces"))
+    return materialize(found, "secrets")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """One written row per candidate: row, repository, owner, start, kind_no, kind, end, hash, looks_live. Offsets are
+    running sums over the pieces of a text; generic runs that overlap a fixed kind are left out."""
+    along = Window.partitionBy("row", "kind_no").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = found.where(F.size("pieces") > 0).select("row", "repository", "owner", F.inline("pieces"))
+    ends = pieces.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(along)).where("kept")
+    fixed = F.col("kind_no") < len(FIXED)
+    # both run forward over their own order: a frame that shrinks would be summed up anew for every row
+    text, upto = Window.partitionBy("row"), (Window.unboundedPreceding, 0)
+    before = F.max(F.when(fixed, F.col("end"))).over(text.orderBy("start", "kind_no").rowsBetween(*upto))
+    after = F.min(F.when(fixed, F.col("start"))).over(text.orderBy(F.col("start").desc(), F.col("kind_no").desc()).rowsBetween(*upto))
+    spans = ends.withColumn("start", F.col("end") - F.col("length")).withColumns({"before": before, "after": after})
+    free = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    kind = F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), F.col("kind_no") + 1)
+    return materialize(
+        spans.where(fixed | free).select("row", "repository", "owner", "start", "kind_no", kind.alias("kind"), "end", "hash", "looks_live"), "secret-spans")
+
+
+def ownership(spans: DataFrame) -> DataFrame:
     """hash, places, repositories, owners: how widely each value is held. A null owner is an owner."""
-    one = found.select("repository", "owner", F.explode("spans").alias("s")).select("repository", "owner", "s.hash")
-    pairs = one.groupBy("hash", "repository", "owner").agg(F.count(F.lit(1)).alias("places"))
+    pairs = spans.groupBy("hash", "repository", "owner").agg(F.count(F.lit(1)).alias("places"))
     owners = pairs.groupBy("hash", "owner").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("repositories"))
     return owners.groupBy("hash").agg(
         F.sum("places").alias("places"), F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
 
+def is_copied() -> Column:
+    """Of a row of ``ownership``: whether its value is a copied example."""
+    owners = F.col("owners")
+    return (owners >= COPIED_OWNERS) | ((owners > 1) & (F.col("repositories") >= COPIED_REPOSITORIES))
+
+
 def secrets(docs: DataFrame, repository: Column | None = None, owner: Column | None = None) -> DataFrame:
     """One row per document: doc_id, base, spans, n_live, n_copied.
 
-    ``base`` holds the spans of the fixed kinds, ``spans`` those and the live-looking generic runs, both by
-    start, then kind. ``n_live`` counts spans with a live-looking value of one owner, ``n_copied`` those
-    with a value of ``COPIED_OWNERS`` owners or more. Without other columns given, the owner of a document
-    is its source and the repository its source and language.
+    ``base`` holds the spans of the fixed kinds, ``spans`` those and the live generic runs, both by start, then
+    kind. ``n_copied`` counts spans whose value is a copied example, ``n_live`` live-looking ones that are none.
+    Without other columns given, the owner of a document is its source and the repository its source and language.
 
-    A null text counts as empty; equal rows are separate documents; a value found twice in a text is two
-    spans; an empty table gives an empty result; other columns are left out.
+    A null text counts as empty; a very long text, or one with very many matches, is scanned whole in linear
+    time; equal rows are separate documents; a value found twice in a text is two spans; an empty table gives an
+    empty result; other columns are left out.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.struct("source", "lang") if repository is None else repository
     found = scanned(docs, repository, owner)
-    places = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    judged = places.join(ownership(found), "hash").select(
-        "row", F.struct("start", "kind_no", "kind", "end").alias("span"),
-        ((F.col("owners") == 1) & F.col("looks_live")).alias("live"), (F.col("owners") >= COPIED_OWNERS).alias("copied"))
-    fixed = F.col("span.kind_no") < len(FIXED)
+    spans = placed(found)
+    copied = ownership(spans).where(is_copied()).select("hash", F.lit(True).alias("known"))
+    judged = spans.join(copied, "hash", "left").withColumn("copied", F.coalesce("known", F.lit(False)))
+    live = F.col("looks_live") & ~F.col("copied")
+    fixed = F.col("kind_no") < len(FIXED)
+    span = F.struct("start", "kind_no", "kind", "end")
     by_row = judged.groupBy("row").agg(
-        F.collect_list(F.when(fixed | F.col("live"), F.col("span"))).alias("all"),
-        F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"))
-    joined = found.select("row", "doc_id", "spans").join(by_row, "row", "left")
-    plain = F.transform(F.filter("spans", lambda s: s["kind_no"] < len(FIXED)), lambda s: F.struct(
-        s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["kind"].alias("kind"), s["end"].alias("end")))
+        F.array_sort(F.collect_list(F.when(fixed, span))).alias("base"), F.array_sort(F.collect_list(F.when(fixed | live, span))).alias("spans"),
+        F.count_if(live).alias("n_live"), F.count_if("copied").alias("n_copied"))
+    joined = found.select("row", "doc_id").join(by_row, "row", "left")
+    none = F.array().cast(f"array<{_SPAN}>")
     return joined.select(
-        "doc_id", plain.alias("base"), F.array_sort(F.coalesce("all", F.array().cast("array<struct<start:long,kind_no:int,kind:string,end:long>>"))).alias("spans"),
+        "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
 
 
@@ -174,8 +192,10 @@ candidates AS (
     looks_live AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND NOT EXISTS (
       SELECT 1 FROM spans b WHERE b.rid = s.rid AND b.kind_no < 3 AND s.start < b.stop AND b.start < s.stop))
 ),
-owners AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners FROM candidates GROUP BY value),
-judged AS (SELECT c.*, owners = 1 AND looks_live AS live, owners >= 3 AS copied FROM candidates c JOIN owners USING (value)),
+owners AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners,
+                  count(DISTINCT (coalesce('=' || source, ''), coalesce('=' || lang, ''))) AS repositories FROM candidates GROUP BY value),
+told AS (SELECT value, owners >= 3 OR (owners > 1 AND repositories >= 4) AS copied FROM owners),
+judged AS (SELECT c.*, looks_live AND NOT copied AS live, copied FROM candidates c JOIN told USING (value)),
 by_row AS (
   SELECT rid, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access,
          count(*) FILTER (kind_no = 2) AS n_hex,
