@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowtide.llm import conversation_trie, decontamination, license_diagonals, periodic_runs, secret_ownership
+from flowtide.llm import conversation_trie, decontamination, license_diagonals, license_sql, periodic_runs, secret_ownership
 from flowtide.llm.html_consensus import extracted_pages
 from flowtide.llm.kd_sharding import shard_documents
 from flowtide.llm.language_kernel import languages
@@ -69,7 +69,7 @@ def op5_language_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return languages(table(spark, folder, "documents"))
 
 
-@query("op6_license_diagonals", license_diagonals.SQL)
+@query("op6_license_diagonals", license_sql.SQL)
 def op6_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
     return license_diagonals.licenses(table(spark, folder, "documents"))
 

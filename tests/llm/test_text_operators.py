@@ -253,3 +253,17 @@ def test_many_secrets_in_one_text(spark):
     row = secret_ownership.secrets(make(spark, [(1, text, "en", "s")])).first()
     assert time.time() - start < 60
     assert len(row["base"]) == 100_000 and [(s["start"], s["end"]) for s in row["base"][-2:]] == [(17 * 99_998, 17 * 99_998 + 16), (17 * 99_999, 17 * 99_999 + 16)]
+
+
+def test_notices_of_one_family_are_told_apart(spark):
+    from conftest import make
+
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+           "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    lgpl = gpl.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+    whole = next(t.text for t in license_diagonals.TEMPLATES if t.label == "mit" and len(t.text.split()) > 150)
+    half = " ".join(whole.split()[90:])  # the opening is missing
+    texts = [gpl, lgpl, gpl + " and " + lgpl, whole, half, "x " * 30 + whole.upper() + " y" * 50, "the software is provided as is without warranty of any kind"]
+    found = {r["doc_id"]: r["labels"] for r in license_diagonals.licenses(make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [found[i] for i in range(7)] == ["gpl", "lgpl", "gpl,lgpl", "mit", "", "mit", ""]
+    assert all(len(t.text.split()) > 0 and t.text == t.text.lower() for t in license_diagonals.TEMPLATES)
