@@ -1,23 +1,28 @@
-"""Exact nearest-neighbour join, and the operators built on it.
+"""Nearest-neighbour joins, exact and by hashing, and the operators built on them.
 
-Distances obey the triangle inequality, so most of the work can be ruled out beforehand:
+Exact search. Distances obey the triangle inequality, so most of the work can be ruled out beforehand:
 
-* a bounded number of pivots is drawn from the references and every vector is assigned to
-  the cell of its nearest pivot;
-* per cell, the size, the span of distances to its pivot and its ``k`` smallest distances are
-  collected: a table bounded by pivots x k numbers;
-* each query bounds the distance of its k-th neighbour from those numbers and visits only the
-  cells that could hold something nearer.
+* pivots are drawn from the references, as many as the square root of their number, and grouped around the
+  square root of that; every reference goes to the nearest group and there to the cell of its nearest pivot, so
+  it is compared with twice the fourth root of the references;
+* per cell, the size, the span of distances to its pivot and its ``k`` smallest distances are collected, a table
+  bounded by pivots x k numbers;
+* each query bounds the distance of its k-th neighbour from the cells of its nearest groups, rules out whole
+  groups, then cells, and visits only what could hold something nearer.
 
-A cell that holds a large share of the references is cut into chunks, and the queries into
-blocks, so a task compares one bounded block with one bounded chunk and keeps ``k`` rows per
-query. The final ranking runs over those survivors only. No reference is ever skipped that
-could be among the ``k`` nearest, and no cross join is planned.
+Search by hashing (``nearest_hashed``) places every reference in one bucket of each of several tables, the signs of
+its products with random directions, and a query visits its bucket and those that differ in its least certain signs.
+
+Either way a cell or bucket with many references is cut into chunks, and the visits of a chunk into blocks, so a task
+compares one bounded block with one bounded chunk and keeps ``k`` rows per query. A reference is copied once for
+each block of visits to its chunk, not for the queries there are. The ranking runs over the survivors only. No
+cross join is planned, and exact search skips no reference that could be among the ``k`` nearest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,10 +32,16 @@ from pyspark.sql import types as T
 
 from flowtide.functions.vectors import l2_normalize
 from flowtide.operators.sampling import hash_key
+from flowtide.session import materialize
 
 METRICS = ("euclidean", "manhattan", "chebyshev", "minkowski", "cosine")
 _SLAB = 1 << 22  # numbers held at once while comparing a block with a chunk
-
+#: Pivots that are collected at most; with more references the cells have more chunks.
+MAX_PIVOTS = 1 << 14
+#: Groups whose cells bound the distance of a query's neighbours.
+_NEAR_GROUPS = 3
+#: Vectors that are placed at a time.
+_BATCH = 1024
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.asarray(vectors.tolist(), dtype=np.float64)
@@ -54,99 +65,217 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str, p: float = 2.0) -> np.n
     return out
 
 
-def nearest(
-    queries: DataFrame,
-    references: DataFrame,
-    k: int,
-    metric: str = "euclidean",
-    query_id: str = "query_id",
-    reference_id: str = "reference_id",
-    vector: str = "embedding",
-    exclude_same_id: bool = False,
-    p: float = 2.0,
-    pivots: int = 32,
-    chunk_rows: int = 4096,
-) -> DataFrame:
-    """(query_id, reference_id, distance, rank) for the ``k`` nearest references of each query.
+@dataclass
+class CellIndex:
+    """What a task needs to place references and to plan the visits of queries."""
 
-    Ties go to the smaller reference id. ``cosine`` ranks by the distance of the normalised
-    vectors and also returns ``similarity``.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}")
-    unit = metric == "cosine"
-    shape = l2_normalize(F.col(vector)) if unit else F.transform(vector, lambda x: x.cast("double"))
-    wanted = F.col(vector).isNotNull()
-    left = queries.where(wanted).select(F.col(query_id).alias("__q"), shape.alias("__v"))
-    right = references.where(wanted).select(F.col(reference_id).alias("__r"), shape.alias("__v"))
+    metric: str
+    p: float
+    pivots: np.ndarray  # in the order of their groups
+    groups: np.ndarray  # centre of each group
+    first: np.ndarray  # first pivot of each group, and the number of pivots
+    size: np.ndarray | None = None  # by cell: references, least and greatest distance to the pivot, first chunk and chunks
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    first_chunk: np.ndarray | None = None
+    chunks: np.ndarray | None = None
+    inner: np.ndarray | None = None  # smallest distances to the pivot, padded with infinity
+
+    @staticmethod
+    def of(pivots: np.ndarray, metric: str, p: float) -> CellIndex:
+        groups = pivots[: max(1, round(len(pivots) ** 0.5))]
+        group = np.concatenate([distances(pivots[i : i + _BATCH], groups, metric, p).argmin(axis=1) for i in range(0, len(pivots), _BATCH)])
+        order = np.argsort(group, kind="stable")
+        return CellIndex(metric, p, pivots[order], groups, np.searchsorted(group[order], np.arange(len(groups) + 1)))
+
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and distance to its pivot of each vector."""
+        group = distances(vectors, self.groups, self.metric, self.p).argmin(axis=1)
+        cell, far = np.empty(len(vectors), np.int64), np.empty(len(vectors))
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            start, stop = self.first[g], self.first[g + 1]
+            if start == stop:  # no pivot is nearest to this centre; the centres are pivots themselves, so a copy of another one
+                start, stop = 0, len(self.pivots)
+            d = distances(vectors[rows], self.pivots[start:stop], self.metric, self.p)
+            best = d.argmin(axis=1)
+            cell[rows], far[rows] = start + best, d[np.arange(len(rows)), best]
+        return cell, far
+
+    def summarise(self, facts: list, margin: int, chunk_rows: int) -> None:
+        """Take over what was collected of the cells."""
+        n = len(self.pivots)
+        self.size, self.low, self.high = np.zeros(n, np.int64), np.full(n, np.inf), np.full(n, -np.inf)
+        self.inner = np.full((n, margin), np.inf)
+        for row in facts:
+            cell = row["cell"]
+            self.size[cell], self.low[cell], self.high[cell] = row["n"], row["lo"], row["hi"]
+            near = np.sort(row["near"])[:margin]
+            self.inner[cell, : len(near)] = near
+        self.chunks = -(-self.size // chunk_rows)
+        self.first_chunk = np.concatenate([[0], np.cumsum(self.chunks)[:-1]])
+        #: no reference of a group is further from its centre
+        self.radius = np.full(len(self.groups), -np.inf)
+        for g in range(len(self.groups)):
+            cells = slice(self.first[g], self.first[g + 1])
+            held = self.size[cells] > 0
+            if held.any():
+                own = distances(self.groups[g : g + 1], self.pivots[cells], self.metric, self.p)[0]
+                self.radius[g] = (own + self.high[cells])[held].max()
 
-    drawn = right.orderBy(hash_key("__r"), "__r").limit(pivots).select("__v").collect()
-    q_type, r_type = left.schema["__q"].dataType.simpleString(), right.schema["__r"].dataType.simpleString()
-    empty = f"{query_id} {q_type}, {reference_id} {r_type}, distance double, rank int"
+    def visits(self, vectors: np.ndarray, margin: int) -> list[np.ndarray]:
+        """Chunks that each query has to visit."""
+        to_groups = distances(vectors, self.groups, self.metric, self.p)
+        known = np.full((len(vectors), len(self.pivots)), np.nan)
+
+        def look(rows: np.ndarray, g: int) -> None:
+            cells = slice(self.first[g], self.first[g + 1])
+            if len(rows) and cells.stop > cells.start:
+                known[rows, cells] = distances(vectors[rows], self.pivots[cells], self.metric, self.p)
+
+        nearest_groups = np.argsort(to_groups, axis=1, kind="stable")[:, :_NEAR_GROUPS]
+        for g in range(len(self.groups)):
+            look(np.flatnonzero((nearest_groups == g).any(axis=1)), g)
+        bound = self._bound(known, margin)
+        for g in range(len(self.groups)):
+            rows = np.flatnonzero(to_groups[:, g] - self.radius[g] <= bound)
+            look(rows[np.isnan(known[rows, self.first[g]])] if self.first[g + 1] > self.first[g] else rows[:0], g)
+        bound = self._bound(known, margin)
+        with np.errstate(invalid="ignore"):
+            open_cells = (known - self.high <= bound[:, None]) & (self.low - known <= bound[:, None]) & (self.size > 0)
+        return [
+            np.concatenate([np.arange(self.first_chunk[c], self.first_chunk[c] + self.chunks[c]) for c in np.flatnonzero(row)] or [np.empty(0, np.int64)])
+            for row in open_cells
+        ]
+
+    def _bound(self, known: np.ndarray, margin: int) -> np.ndarray:
+        """No less than the distance of each query's last wanted neighbour, from the cells it knows its distance to."""
+        out = np.full(len(known), np.inf)
+        for i, row in enumerate(known):
+            cells = np.flatnonzero(~np.isnan(row))
+            reach = (row[cells, None] + self.inner[cells]).ravel()
+            if len(reach) >= margin:
+                out[i] = np.partition(reach, margin - 1)[margin - 1]
+        return out * (1 + 1e-9) + 1e-12
+
+
+def _cell_index(right: DataFrame, metric: str, p: float, margin: int, pivots: int | None, chunk_rows: int) -> CellIndex | None:
+    """Draw the pivots and collect the cells; None without references."""
+    wanted = pivots or min(MAX_PIVOTS, max(1, round(right.count() ** 0.5)))
+    drawn = right.orderBy(hash_key("__r"), "__r").limit(wanted).select("__v").collect()
     if not drawn:
-        out = queries.sparkSession.createDataFrame([], empty)
-        return out.withColumn("similarity", F.lit(None).cast("double")) if unit else out
-    centres = np.asarray([r["__v"] for r in drawn], dtype=np.float64)
+        return None
+    index = CellIndex.of(np.asarray([r["__v"] for r in drawn], dtype=np.float64), metric, p)
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for each cell of a task: at most ``margin`` numbers and three facts."""
+        cells: dict[int, list] = {}
         for rows in batches:
-            if len(rows):
-                d = distances(_matrix(rows["__v"]), centres, metric, p)
-                cell = d.argmin(axis=1)
-                yield rows.assign(__cell=cell.astype("int32"), __d=d[np.arange(len(d)), cell])
-
-    placed = right.mapInPandas(to_cells, T.StructType([*right.schema.fields, T.StructField("__cell", T.IntegerType()), T.StructField("__d", T.DoubleType())]))
-    # One more than k, because a query may meet itself among the references.
-    margin = k + (1 if exclude_same_id else 0)
-    closest = Window.partitionBy("__cell").orderBy("__d")
-    sizes = placed.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.min("__d").alias("lo"), F.max("__d").alias("hi"))
-    near = (
-        placed.select("__cell", "__d", F.row_number().over(closest).alias("i"))
-        .where(F.col("i") <= margin)
-        .groupBy("__cell")
-        .agg(F.collect_list("__d").alias("ds"))
-    )
-    summary = {r["__cell"]: r for r in sizes.join(near, "__cell").collect()}
-    cells = np.asarray(sorted(summary), dtype=np.int64)
-    low = np.asarray([summary[c]["lo"] for c in cells])
-    high = np.asarray([summary[c]["hi"] for c in cells])
-    chunks = np.asarray([-(-summary[c]["n"] // chunk_rows) for c in cells], dtype=np.int64)
-    owner = np.repeat(np.arange(len(cells)), [len(summary[c]["ds"]) for c in cells])
-    inner = np.concatenate([np.asarray(summary[c]["ds"]) for c in cells])
-    blocks = max(1, -(-left.count() // chunk_rows))
-    first_chunk = np.concatenate([[0], np.cumsum(chunks)[:-1]])
+            for start in range(0, len(rows), _BATCH):
+                cell, far = index.place(_matrix(rows["__v"].iloc[start : start + _BATCH]))
+                order = np.lexsort((far, cell))
+                for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                    d = far[own]
+                    n, lo, hi, near = cells.get(int(cell[own[0]]), (0, np.inf, -np.inf, np.empty(0)))
+                    near = np.sort(np.concatenate((near, d[:margin])))[:margin]
+                    cells[int(cell[own[0]])] = n + len(d), min(lo, d[0]), max(hi, d[-1]), near
+        if cells:
+            yield pd.DataFrame({"cell": list(cells), **{c: [v[i] for v in cells.values()] for i, c in enumerate(("n", "lo", "hi"))}, "near": [v[3] for v in cells.values()]})
+
+    parts = right.select("__v").mapInPandas(summarise, "cell long, n long, lo double, hi double, near array<double>")
+    facts = parts.groupBy("cell").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("near")).alias("near"))
+    index.summarise(facts.collect(), margin, chunk_rows)
+    return index
+
+
+def _copies(visiting: DataFrame, placed: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides by ``__chunk`` and ``__block``: the visits of a chunk are cut into blocks, and its references are there
+    once for each block."""
+    blocks = materialize(
+        visiting.groupBy("__chunk").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("__blocks")), "visits-by-chunk")
+    asked = visiting.join(blocks, "__chunk").withColumn("__block", F.pmod(F.xxhash64("__q"), F.col("__blocks"))).drop("__blocks")
+    held = placed.join(blocks, "__chunk").withColumn(
+        "__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).drop("__blocks")
+    return asked, held
+
+
+def exact_pairs(
+    left: DataFrame, right: DataFrame, metric: str, p: float, margin: int, pivots: int | None, chunk_rows: int
+) -> tuple[DataFrame, DataFrame] | None:
+    """Queries (``__q``, ``__v``) and references (``__r``, ``__v``), each with the chunks and blocks to compare."""
+    index = _cell_index(right, metric, p, margin, pivots, chunk_rows)
+    if index is None:
+        return None
+
+    def to_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for start in range(0, len(rows), _BATCH):
+                part = rows.iloc[start : start + _BATCH]
+                cell, _ = index.place(_matrix(part["__v"]))
+                yield part.assign(__chunk=index.first_chunk[cell] + part["__h"].to_numpy() % index.chunks[cell]).drop(columns="__h")
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, min(_BATCH, _SLAB // max(1, len(index.pivots))))
         for rows in batches:
-            if not len(rows):
-                continue
-            d = distances(_matrix(rows["__v"]), centres, metric, p)[:, cells]
-            reach = d[:, owner] + inner[None, :]
-            if reach.shape[1] > margin:
-                bound = np.partition(reach, margin - 1, axis=1)[:, margin - 1]
-            else:
-                bound = np.full(len(d), np.inf)
-            bound = bound * (1 + 1e-9) + 1e-12
-            open_cells = (d - high[None, :] <= bound[:, None]) & (low[None, :] - d <= bound[:, None])
-            visits = [
-                np.concatenate([np.arange(first_chunk[j], first_chunk[j] + chunks[j]) for j in np.flatnonzero(row)])
-                for row in open_cells
-            ]
-            yield rows.assign(__visits=visits)
-
-    visiting = left.mapInPandas(
-        to_visits, T.StructType([*left.schema.fields, T.StructField("__visits", T.ArrayType(T.LongType()))])
-    ).select(
-        "__q", "__v", F.explode("__visits").alias("__chunk"), F.pmod(F.xxhash64("__q"), F.lit(blocks)).alias("__block")
-    )
-    start_of = F.create_map(*[x for c, s in zip(cells, first_chunk) for x in (F.lit(int(c)), F.lit(int(s)))])
-    count_of = F.create_map(*[x for c, s in zip(cells, chunks) for x in (F.lit(int(c)), F.lit(int(s)))])
-    held = placed.select(
-        "__r",
-        "__v",
-        (start_of[F.col("__cell")] + F.pmod(F.xxhash64("__r"), count_of[F.col("__cell")])).alias("__chunk"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"),
-    )
+            for start in range(0, len(rows), step):
+                part = rows.iloc[start : start + step]
+                yield part.assign(__visits=index.visits(_matrix(part["__v"]), margin))
+
+    chunk, visits = T.StructField("__chunk", T.LongType()), T.StructField("__visits", T.ArrayType(T.LongType()))
+    placed = right.withColumn("__h", F.xxhash64("__r")).mapInPandas(to_chunks, T.StructType([*right.schema.fields, chunk]))
+    planned = materialize(left.mapInPandas(to_visits, T.StructType([*left.schema.fields, visits])), "visits")
+    return _copies(planned.select("__q", "__v", F.explode("__visits").alias("__chunk")), placed, chunk_rows)
+
+
+def hashed_pairs(
+    left: DataFrame, right: DataFrame, tables: int, bits: int, probes: int, chunk_rows: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """The same by hashing: buckets of the signs of ``bits`` products in each of ``tables`` tables. A query visits
+    ``2 ** probes`` buckets of a table, those that differ in its ``probes`` least certain signs."""
+
+    def products(vectors: np.ndarray) -> np.ndarray:
+        draw = np.random.default_rng(seed)
+        return np.stack([vectors @ draw.normal(size=(vectors.shape[1], bits)) for _ in range(tables)], axis=1)
+
+    def keys(signs: np.ndarray) -> np.ndarray:
+        return (signs.astype(np.int64) << np.arange(bits)).sum(axis=-1) + (np.arange(tables, dtype=np.int64) << bits)[None, :]
+
+    def to_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield rows.assign(__buckets=list(keys(products(_matrix(rows["__v"])) > 0)))
+
+    def to_probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                found = products(_matrix(rows["__v"]))
+                unsure = np.argsort(np.abs(found), axis=2)[:, :, :probes]
+                out = []
+                for flips in range(1 << probes):
+                    signs = found > 0
+                    for i in range(probes):
+                        if flips >> i & 1:
+                            at = unsure[:, :, i : i + 1]
+                            np.put_along_axis(signs, at, ~np.take_along_axis(signs, at, axis=2), axis=2)
+                    out.append(keys(signs))
+                yield rows.assign(__buckets=list(np.concatenate(out, axis=1)))
+
+    buckets = T.StructField("__buckets", T.ArrayType(T.LongType()))
+    placed = materialize(right.mapInPandas(to_buckets, T.StructType([*right.schema.fields, buckets])), "hashed").select(
+        "__r", "__v", F.explode("__buckets").alias("__bucket"))
+    sizes = materialize(placed.groupBy("__bucket").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("__parts")), "bucket-sizes")
+    # two chunks of one key would only be compared together
+    chunk = F.xxhash64("__bucket", "__part").alias("__chunk")
+    cut = placed.join(sizes, "__bucket").withColumn("__part", F.pmod(F.xxhash64("__r"), F.col("__parts"))).select("__r", "__v", chunk)
+    asked = left.mapInPandas(to_probes, T.StructType([*left.schema.fields, buckets])).select("__q", "__v", F.explode("__buckets").alias("__bucket"))
+    visiting = asked.join(sizes, "__bucket").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+    return _copies(materialize(visiting.select("__q", "__v", chunk), "visits"), cut, chunk_rows)
+
+
+def _compared(asked: DataFrame, held: DataFrame, k: int, metric: str, p: float, exclude_same_id: bool) -> DataFrame:
+    """``__q``, ``__r``, ``__d``: the ``k`` nearest references of each query in each chunk it visits."""
+    q_type, r_type = asked.schema["__q"].dataType.simpleString(), held.schema["__r"].dataType.simpleString()
 
     def compare(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         names = ["__q", "__r", "__d"]
@@ -158,31 +287,100 @@ def nearest(
         for start in range(0, len(some), 256):
             part = some.iloc[start : start + 256]
             d = distances(_matrix(part["__v"]), theirs, metric, p)
-            asked = part["__q"].to_numpy()
+            asking = part["__q"].to_numpy()
             if exclude_same_id:
-                d[asked[:, None] == ids[None, :]] = np.inf
+                d[asking[:, None] == ids[None, :]] = np.inf
             order = np.argsort(d, axis=1, kind="stable")[:, :k]
             best = np.take_along_axis(d, order, axis=1)
             found.append(
-                pd.DataFrame({"__q": np.repeat(asked, order.shape[1]), "__r": ids[order.ravel()], "__d": best.ravel()})
+                pd.DataFrame({"__q": np.repeat(asking, order.shape[1]), "__r": ids[order.ravel()], "__d": best.ravel()})
             )
         out = pd.concat(found, ignore_index=True)
         return out[np.isfinite(out["__d"])]
 
-    survivors = (
-        visiting.groupBy("__chunk", "__block")
-        .cogroup(held.groupBy("__chunk", "__block"))
-        .applyInPandas(compare, f"__q {q_type}, __r {r_type}, __d double")
+    by = ["__chunk", "__block"]
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(compare, f"__q {q_type}, __r {r_type}, __d double")
+
+
+def _sides(queries: DataFrame, references: DataFrame, query_id: str, reference_id: str, vector: str, unit: bool) -> tuple[DataFrame, DataFrame]:
+    shape = l2_normalize(F.col(vector)) if unit else F.transform(vector, lambda x: x.cast("double"))
+    known = F.col(vector).isNotNull()
+    return (
+        queries.where(known).select(F.col(query_id).alias("__q"), shape.alias("__v")),
+        references.where(known).select(F.col(reference_id).alias("__r"), shape.alias("__v")),
     )
+
+
+def _ranked(survivors: DataFrame, k: int, query_id: str, reference_id: str, unit: bool) -> DataFrame:
     ranking = Window.partitionBy("__q").orderBy("__d", "__r")
     out = (
         survivors.withColumn("rank", F.row_number().over(ranking))
         .where(F.col("rank") <= k)
         .select(F.col("__q").alias(query_id), F.col("__r").alias(reference_id), F.col("__d").alias("distance"), "rank")
     )
-    if unit:
-        out = out.withColumn("similarity", 1.0 - F.col("distance") * F.col("distance") / 2.0)
-    return out
+    return out.withColumn("similarity", 1.0 - F.col("distance") * F.col("distance") / 2.0) if unit else out
+
+
+def nearest(
+    queries: DataFrame,
+    references: DataFrame,
+    k: int,
+    metric: str = "euclidean",
+    query_id: str = "query_id",
+    reference_id: str = "reference_id",
+    vector: str = "embedding",
+    exclude_same_id: bool = False,
+    p: float = 2.0,
+    pivots: int | None = None,
+    chunk_rows: int = 4096,
+) -> DataFrame:
+    """(query_id, reference_id, distance, rank) for the ``k`` nearest references of each query.
+
+    Ties go to the smaller reference id. ``cosine`` ranks by the distance of the normalised
+    vectors and also returns ``similarity``.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    unit = metric == "cosine"
+    left, right = _sides(queries, references, query_id, reference_id, vector, unit)
+    # one more than k, because a query may meet itself among the references
+    pairs = exact_pairs(left, right, metric, p, k + (1 if exclude_same_id else 0), pivots, chunk_rows)
+    if pairs is None:
+        names = f"__q {left.schema['__q'].dataType.simpleString()}, __r {right.schema['__r'].dataType.simpleString()}, __d double"
+        return _ranked(queries.sparkSession.createDataFrame([], names), k, query_id, reference_id, unit)
+    return _ranked(_compared(*pairs, k, metric, p, exclude_same_id), k, query_id, reference_id, unit)
+
+
+def nearest_hashed(
+    queries: DataFrame,
+    references: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    reference_id: str = "reference_id",
+    vector: str = "embedding",
+    exclude_same_id: bool = False,
+    tables: int = 12,
+    bits: int = 8,
+    probes: int = 3,
+    chunk_rows: int = 4096,
+    seed: int = 7,
+) -> DataFrame:
+    """The same columns as ``nearest`` by cosine, from candidates by hashing: not exact, ``recall`` tells how near.
+
+    All references are indexed. More tables and probes find more, more bits compare less; vectors without near
+    neighbours (similarities below one half) need few bits.
+    """
+    left, right = _sides(queries, references, query_id, reference_id, vector, True)
+    asked, held = hashed_pairs(left, right, tables, bits, probes, chunk_rows, seed)
+    # a pair can meet in several tables
+    met = _compared(asked, held, k, "cosine", 2.0, exclude_same_id).groupBy("__q", "__r").agg(F.min("__d").alias("__d"))
+    return _ranked(met, k, query_id, reference_id, True)
+
+
+def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", reference_id: str = "reference_id") -> float:
+    """Share of the exact neighbours that were found."""
+    both = exact.select(query_id, reference_id).join(found.select(query_id, reference_id).distinct(), [query_id, reference_id]).count()
+    return both / max(1, exact.count())
 
 
 def neighbour_vote(neighbours: DataFrame, references: DataFrame, label: str, query_id: str = "query_id", reference_id: str = "reference_id") -> DataFrame:

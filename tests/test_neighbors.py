@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from flowtide.operators.neighbors import nearest, neighbour_vote
+from flowtide.operators.neighbors import _sides, exact_pairs, hashed_pairs, nearest, nearest_hashed, neighbour_vote, recall
 
 
 def data(n=90, dims=4, copies=30, seed=3):
@@ -68,3 +68,41 @@ def test_vote_ties_go_to_the_smallest_label(spark):
     references = spark.createDataFrame([(10, 7), (11, 3), (12, 7)], "reference_id long, label int")
     got = {r["query_id"]: (r["prediction"], r["share"]) for r in neighbour_vote(neighbours, references, "label").collect()}
     assert got == {1: (3, 0.5), 2: (7, 1.0)}
+
+
+def clustered(n=3000, centres=60, dims=8, seed=4):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(centres, dims))[rng.integers(0, centres, n)] * 4 + rng.normal(size=(n, dims)) * 0.2
+
+
+def test_references_are_copied_by_visits(spark):
+    """Many more queries than a block holds: a reference is there once for each block of visits, not of queries."""
+    points = clustered(centres=20)
+    left, right = _sides(frame(spark, points, "query_id"), frame(spark, points[:2000], "reference_id"), "query_id", "reference_id", "embedding", False)
+    asked, held = exact_pairs(left, right, "euclidean", 2.0, 6, None, 100)
+    visits, copies = asked.count(), held.count()
+    assert visits < 6 * 3000  # a few chunks each, of more than forty
+    assert copies <= 5 * 2000  # thirty blocks of queries would make 60,000
+    blocks = asked.groupBy("__chunk").agg({"__block": "max"}).agg({"max(__block)": "sum"}).first()[0]
+    assert held.select("__chunk", "__block").distinct().count() <= blocks + asked.select("__chunk").distinct().count()
+    got = nearest(frame(spark, points, "query_id"), frame(spark, points[:2000], "reference_id"), 5, chunk_rows=100)
+    mine = {(r["query_id"], r["reference_id"]) for r in got.collect()}
+    gap = ((points[:, None, :] - points[None, :2000, :]) ** 2).sum(2)
+    assert mine == {(i, int(j)) for i, row in enumerate(gap) for j in np.argsort(row, kind="stable")[:5]}
+
+
+def test_hashing_finds_nine_of_ten(spark, small):
+    points = clustered(dims=16)
+    queries, references = frame(spark, points[::10], "query_id"), frame(spark, points, "reference_id")
+    exact = nearest(queries, references, 5, "cosine")
+    assert recall(nearest_hashed(queries, references, 5), exact) >= 0.9
+    left, right = _sides(queries, references, "query_id", "reference_id", "embedding", True)
+    asked, held = hashed_pairs(left, right, 12, 8, 3, 500, 7)
+    assert held.select("__r").distinct().count() == 3000  # every row is indexed
+    # vectors without neighbours to speak of: few bits
+    rows = spark.read.parquet(f"{small}/embeddings.parquet")
+    queries, references = rows.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "reference_id")
+    exact = nearest(queries, references, 5, "cosine", exclude_same_id=True)
+    found = nearest_hashed(queries, references, 5, exclude_same_id=True, tables=16, bits=4, probes=2)
+    assert recall(found, exact) >= 0.9
+    assert found.groupBy("query_id").count().agg({"count": "max"}).first()[0] == 5
