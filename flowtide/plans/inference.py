@@ -1,40 +1,64 @@
-"""The two-stage cascade: detect, classify by four voters, resolve ties, document."""
+"""The two-stage cascade: detect, classify by four voters, resolve ties, document.
+
+A row keeps its columns all the way, so nothing is joined back and no table is written: the cascade scores a
+stream as it does a table.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.ml import Model
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml import Model, PipelineModel, Transformer
+from pyspark.ml.classification import OneVsRestModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.operators import models, voting
-from flowtide.operators.retrieval import resolve_low_agreement
+from flowtide.operators.encoding import LabelCodes
+from flowtide.operators.retrieval import RETRIEVED
+from flowtide.operators.stages import EncoderStage, HighestStage, NeighbourStage
 from flowtide.plans.training import Prepared, transform_data
 from flowtide.session import materialize
 
+_DETECTION, _CLASSIFICATION = "__detection", "__classification"
+
+
+def _named(model: Model, features: str, name: str) -> list[Transformer]:
+    """Stages that read ``features`` and write columns of their own name."""
+    if isinstance(model, OneVsRestModel):
+        parts = [stage for i, m in enumerate(model.models) for stage in _named(m, features, f"__{name}{i}")]
+        return [*parts, HighestStage(inputCols=[m.getRawPredictionCol() for m in parts], outputCol=name)]
+    columns = {"featuresCol": features, "predictionCol": name, "rawPredictionCol": f"__{name}_raw", "probabilityCol": f"__{name}_probability"}
+    return [model.copy({model.getParam(p): value for p, value in columns.items() if model.hasParam(p)})]
+
 
 @dataclass
 class Cascade:
-    """Fitted models of both stages with the encoders they were fitted on."""
+    """Fitted pipelines of both stages and the memory that settles ties. It can be saved and loaded whole."""
 
-    prepared: Prepared
-    binary: Model
-    rfc: Model
-    xgb: Model
-    mlp: Model
-    references: DataFrame
-    neighbours: int = 3
+    row_id: str
+    classes: list[str]
+    detector: PipelineModel
+    classifier: PipelineModel
+    memory: NeighbourStage
 
-    def detection_rows(self, df: DataFrame) -> DataFrame:
-        p = self.prepared
-        encoded = p.detection.transform(df)
-        return p.detection.assemble_encoded(encoded, [p.row_id])
+    def save(self, spark: SparkSession, path: str) -> None:
+        for name in ("detector", "classifier", "memory"):
+            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        facts = json.dumps({"row_id": self.row_id, "classes": self.classes})
+        spark.createDataFrame([(facts,)], "document string").write.mode("overwrite").json(f"{path}/facts")
 
-    def classification_rows(self, df: DataFrame) -> DataFrame:
-        p = self.prepared
-        return p.classification.assemble_encoded(p.classification.transform(df), [p.row_id])
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Cascade:
+        facts = json.loads(spark.read.schema("document string").json(f"{path}/facts").first()["document"])
+        return cls(
+            facts["row_id"], facts["classes"], PipelineModel.load(f"{path}/detector"), PipelineModel.load(f"{path}/classifier"),
+            NeighbourStage.load(f"{path}/memory"))
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """Rows with ``features``, as the voters see them."""
+        return self.classifier.stages[0].transform(df).withColumnRenamed(_CLASSIFICATION, "features")
 
 
 def prepare(df: DataFrame, label: str, row_id: str, numeric: list[str], categorical: list[str]) -> Prepared:
@@ -49,53 +73,54 @@ def labelled(prepared: Prepared, df: DataFrame, stage: str) -> DataFrame:
 
 
 def train_cascade(
-    prepared: Prepared, forest_params: dict | None = None, boosting_rounds: int = models.BOOSTING_ROUNDS, epochs: int = models.MLP_EPOCHS
+    prepared: Prepared, forest_params: dict | None = None, boosting_rounds: int = models.BOOSTING_ROUNDS, epochs: int = models.MLP_EPOCHS, neighbours: int = 3
 ) -> Cascade:
     """Fit the detector and the voters. The encoded training rows are written once and shared
-    by all fits."""
+    by all fits. The neighbour voter and the memory hold a bounded number of them."""
     params = forest_params or {"numTrees": 100, "maxDepth": 20}
     detection = materialize(labelled(prepared, prepared.train, "detection"), "train-detection")
     attacks = materialize(labelled(prepared, prepared.train, "classification"), "train-classification")
+    fitted = {
+        "rfc": models.fit_forest(attacks, **params),
+        "xgb": models.fit_boosted(attacks, prepared.row_id, boosting_rounds),
+        "mlp": models.fit_perceptron(attacks, len(prepared.codes.classes), epochs),
+    }
+    knn = NeighbourStage(neighbours, "euclidean", _CLASSIFICATION, "knn").remember(attacks, prepared.row_id)
+    memory = NeighbourStage(RETRIEVED, "cosine", _CLASSIFICATION, "resolved", "low_agreement").holding(knn.vectors, knn.labels)
     return Cascade(
-        prepared,
-        models.fit_forest(detection, **params),
-        models.fit_forest(attacks, **params),
-        models.fit_boosted(attacks, prepared.row_id, boosting_rounds),
-        models.fit_perceptron(attacks, len(prepared.codes.classes), epochs),
-        attacks,
+        prepared.row_id,
+        prepared.codes.classes,
+        PipelineModel([EncoderStage.of(prepared.detection, _DETECTION), *_named(models.fit_forest(detection, **params), _DETECTION, "__malicious")]),
+        PipelineModel([EncoderStage.of(prepared.classification, _CLASSIFICATION), *[s for n, m in fitted.items() for s in _named(m, _CLASSIFICATION, n)], knn]),
+        memory,
     )
 
 
+def _tidy(df: DataFrame) -> DataFrame:
+    """Without the working columns of the stages."""
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
+
+
 def detect(cascade: Cascade, df: DataFrame) -> DataFrame:
-    """Row id and ``is_malicious`` of the first stage."""
-    scored = models.predict(cascade.binary, cascade.detection_rows(df), "__code")
-    return scored.select(cascade.prepared.row_id, (F.col("__code") == 1).alias("is_malicious"))
+    """All columns and ``is_malicious`` of the first stage."""
+    return _tidy(cascade.detector.transform(df).withColumn("is_malicious", F.col("__malicious") == 1))
 
 
 def classify(cascade: Cascade, malicious: DataFrame) -> DataFrame:
     """Votes, majority and resolved class code of rows found malicious."""
-    row_id = cascade.prepared.row_id
-    rows = cascade.classification_rows(malicious)
-    for name, model in (("rfc", cascade.rfc), ("xgb", cascade.xgb), ("mlp", cascade.mlp)):
-        rows = models.predict(model, rows, name)
-    voted = voting.hard_vote(models.predict_knn(rows, cascade.references, row_id, "knn", cascade.neighbours))
-    voted = materialize(voted, "votes")
-    undecided = voted.where("low_agreement").select(row_id, vector_to_array("features").alias("embedding"))
-    memory = cascade.references.select(row_id, "target", vector_to_array("features").alias("embedding"))
-    resolved = resolve_low_agreement(undecided, memory, row_id, "target")
-    return voted.join(resolved, row_id, "left").withColumn("final_code", F.coalesce("resolved", "majority")).drop("resolved")
+    rows = cascade.classifier.transform(malicious)
+    voted = voting.hard_vote(rows.withColumns({v: F.col(v).cast("int") for v in voting.VOTERS}))
+    resolved = cascade.memory.transform(voted)
+    return _tidy(resolved.withColumn("final_code", F.coalesce("resolved", "majority"))).drop("resolved")
 
 
 def run_cascade(cascade: Cascade, df: DataFrame) -> DataFrame:
-    """(row id, result document) of every row; only malicious rows reach the second stage.
-
-    The first stage's answers are written before they part, so it runs once.
-    """
-    p = cascade.prepared
-    first = materialize(df.join(detect(cascade, df), p.row_id), "detected")
+    """(row id, result document) of every row; only malicious rows reach the second stage."""
+    first = detect(cascade, df)
     attacks = classify(cascade, first.where("is_malicious"))
+    codes = LabelCodes(cascade.classes)
     for column in (*voting.VOTERS, "majority", "final_code"):
-        attacks = p.codes.decode(attacks, column, column)
+        attacks = codes.decode(attacks, column, column)
     document = voting.result_document(
         F.col("is_malicious"),
         [(v.upper(), F.col(v)) for v in voting.VOTERS],
@@ -104,12 +129,10 @@ def run_cascade(cascade: Cascade, df: DataFrame) -> DataFrame:
         F.col("final_code"),
         F.col("low_agreement"),
     )
-    malicious = attacks.withColumn("is_malicious", F.lit(True)).select(p.row_id, document.alias("result"))
     none = F.lit(None)
     benign = (
         first.where(~F.col("is_malicious"))
         .withColumns({v: none.cast("string") for v in (*voting.VOTERS, "majority", "final_code")})
         .withColumns({"agreement_ratio": none.cast("double"), "low_agreement": F.lit(False)})
-        .select(p.row_id, document.alias("result"))
     )
-    return malicious.unionByName(benign)
+    return attacks.select(cascade.row_id, document.alias("result")).unionByName(benign.select(cascade.row_id, document.alias("result")))

@@ -140,14 +140,16 @@ def mitigation_from_cascade(spark, folder):
 
 @query("stream_cascade")
 def stream_cascade(spark, folder):
-    """The cascade applied to streamed test flows, one micro-batch at a time."""
+    """A stored cascade, loaded and applied to streamed test flows: no batch writes more than its answers."""
     prepared, fitted = _cascade(spark, folder)
+    path = fresh_path(spark, "stored-cascade")
+    fitted.save(spark, path)
+    loaded = inference.Cascade.load(spark, path)
     landing, out = fresh_path(spark, "test-landing"), fresh_path(spark, "streamed-results")
     prepared.test.write.parquet(landing)
     stream = spark.readStream.schema(prepared.test.schema).parquet(landing)
-    handler = streams.score_batches(lambda rows: _flat(inference.run_cascade(fitted, rows)), out)
-    streams.each_batch(stream, handler, fresh_path(spark, "streamed-log")).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    streams.write_stream(_flat(inference.run_cascade(loaded, stream)), out, fresh_path(spark, "streamed-log")).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query("feature_vectors")

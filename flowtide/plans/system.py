@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.operators import cleaning, live, metrics, models, retrieval, rules, sampling, voting
+from flowtide.operators import cleaning, live, metrics, retrieval, rules, sampling, voting
 from flowtide.operators.features import engineer_features
 from flowtide.operators.profile import dataset_profile
 from flowtide.plans import inference, report
@@ -67,31 +67,38 @@ class FlowSystem:
         return prepared
 
     def train(self, prepared: Prepared, **settings) -> inference.Cascade:
-        """Fit the cascade, store its models, test metrics and the memory of resolved rows."""
+        """Fit the cascade and store it whole, with its test metrics. The rows of the test split that were answered
+        correctly are remembered: with the training rows they settle later ties."""
         cascade = inference.train_cascade(prepared, **settings)
-        for name in ("binary", "rfc", "xgb", "mlp"):
-            getattr(cascade, name).write().overwrite().save(f"{self.base}/models/{name}")
-        detection = inference.labelled(prepared, prepared.test, "detection")
-        found = materialize(models.predict(cascade.binary, detection, "prediction").drop("features"), "detected")
+        target = F.when(F.col(LABEL) == BENIGN, 0).otherwise(1).alias("target")
+        found = materialize(
+            inference.detect(cascade, prepared.test).select(self.row_id, target, F.col("is_malicious").cast("int").alias("prediction")), "detected")
         files.write_metrics(metrics.binary_metrics(found, "target", "prediction"), f"{self.base}/metrics/binary")
-        attacks = prepared.test.where(F.col(LABEL) != BENIGN)
-        truth = prepared.codes.encode(attacks, LABEL, "truth").select(self.row_id, "truth")
-        voted = materialize(inference.classify(cascade, attacks).join(truth, self.row_id).drop("features"), "classified")
+        attacks = prepared.codes.encode(prepared.test.where(F.col(LABEL) != BENIGN), LABEL, "truth")
+        voted = materialize(inference.classify(cascade, attacks), "classified")
         long = metrics.voters_long(voted, [*voting.VOTERS, "majority"], [self.row_id, "truth"])
         files.write_metrics(metrics.weighted_metrics(long, ["classifier"], "truth", "prediction"), f"{self.base}/metrics/voters")
         files.write_metrics(metrics.confusion_matrix(voted, "truth", "majority"), f"{self.base}/metrics/confusion")
-        resolved = voted.where("low_agreement").select(self.row_id, F.col("final_code").alias("prediction"))
-        memory = retrieval.memory_candidates(resolved, truth, self.row_id, "truth")
+        answered = voted.select(self.row_id, F.col("final_code").alias("prediction"))
+        memory = retrieval.memory_candidates(answered, voted.select(self.row_id, "truth"), self.row_id, "truth")
         files.save_dataset(memory, self.base, "memory")
+        remembered = cascade.vectors(attacks).join(memory.select(self.row_id), self.row_id).select(self.row_id, "features", F.col("truth").alias("target"))
+        training = inference.labelled(prepared, prepared.train, "classification").select(self.row_id, "features", "target")
+        cascade.memory.remember(remembered.unionByName(training), self.row_id)
+        cascade.save(self.spark, f"{self.base}/cascade")
         return cascade
 
+    def load(self) -> inference.Cascade:
+        """The stored cascade, as it was trained."""
+        return inference.Cascade.load(self.spark, f"{self.base}/cascade")
+
     def featured(self, flows: DataFrame) -> DataFrame:
         """Live or recorded flows to the columns the encoders expect."""
         return engineer_features(cleaning.clean_numeric(flows, NUMBERS), self.window, self.window)
 
     def infer(self, cascade: inference.Cascade, flows: DataFrame) -> DataFrame:
         """Result documents of flows, by row id. The features are computed once and written,
-        as the cascade reads them in each of its stages."""
+        as both stages of the cascade read them."""
         return inference.run_cascade(cascade, materialize(self.featured(flows).drop(LABEL), "live-features"))
 
     def mitigate(self, flows: DataFrame, results: DataFrame, dpid: int = 2, store: bool = True) -> DataFrame:

@@ -28,7 +28,9 @@ def test_end_to_end(spark, small, tmp_path):
     assert set(voters) == {"rfc", "xgb", "mlp", "knn", "majority"} and voters["rfc"] > 0.4
     assert files.load_dataset(spark, system.base, "train_pre_detection").count() == prepared.train.count()
 
-    results = system.infer(cascade, flows.drop("label"))
+    stored = system.load()
+    assert stored.classes == cascade.classes and len(stored.memory.labels) == len(cascade.memory.labels) > 0
+    results = system.infer(stored, flows.drop("label"))
     results.write.parquet(str(tmp_path / "results"))
     results = spark.read.parquet(str(tmp_path / "results"))
     assert results.count() == flows.count()
