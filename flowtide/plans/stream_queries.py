@@ -78,7 +78,7 @@ def stream_rolling(spark, folder):
     out, log = fresh_path(spark, "trailing"), fresh_path(spark, "trailing-log")
 
     def start(flows):
-        return streams.write_stream(trailing(_utc(flows), "src_ip", "flow_id", features, DAY, "1 hour"), out, log)
+        return streams.write_stream(trailing(_utc(flows), "src_ip", "flow_id", features, DAY, "1 hour", slices=2), out, log)
 
     _run_landed(spark, folder, start, closing="3 DAYS")
     return spark.read.parquet(out).select("flow_id", "n", "ports", F.round("bytes", 6).alias("bytes"))

@@ -12,19 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 from flowtide.operators.live import append_rules, live_flows
 from flowtide.operators.rules import rule_key
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, of which a batch writes its changes instead of the files it touches.
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, on disk, which list state and timers need."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {name: spark.conf.get(name, None) for name in _ROCKS}
+    for name, value in _ROCKS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def poll_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Time is cut into slices, ``slices`` to a window. The frame of a row, ``(t - w, t]``, is what came before it in its
 own slice, all of the slices between, and what is later than ``t - w`` in the slice one window before. So the
-state is kept per (key, slice): the slice's own rows, the rows of the slice one window before, and sums of the
-slices between, which are added up before the shuffle. A source with most of the traffic is spread over its
-slices, and a slice is computed once, when the watermark has passed its end, from bounded state.
+state is kept per slice: the slice's own rows, the rows of the slice one window before, and sums of the slices
+between, which are added up before the shuffle. Keys share ``lanes`` by their hash, so that many small ones cost no
+more than a few calls; a source with most of the traffic is spread over its slices. A slice of a lane is computed
+once, when the watermark has passed its end, for all its keys together and from bounded state.
 
 A row is late if its slice is over by then; that is decided row by row in the operator, where all parts of a row
 see the same watermark, so a late row counts nowhere. It comes out marked instead of being dropped.
@@ -27,8 +28,6 @@ from flowtide.functions.timing import event_micros, window_micros
 from flowtide.operators.rolling import Rolling
 
 _OWN, _OLD, _BETWEEN, _KEYLESS = range(4)
-#: Rows without a key are spread over so many state keys, where they pass through.
-_SPREAD = 64
 #: Rows that are handed on at a time.
 _BATCH = 10_000
 
@@ -65,7 +64,7 @@ def _batch(rows: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _spread(features: Sequence[Rolling], length: int, slices: int, schema: pa.Schema):
+def _spread(features: Sequence[Rolling], length: int, slices: int, lanes: int, schema: pa.Schema):
     """Every row to its own slice and to the one a window later, and its sums to the slices between."""
     fields = [name for name, _ in _fields(features)]
 
@@ -76,10 +75,11 @@ def _spread(features: Sequence[Rolling], length: int, slices: int, schema: pa.Sc
             end = (own + 1) * length
             rows = rows.assign(slice=own, end_ms=-(-end // 1000), at=pd.to_datetime(end, unit="us", utc=True))
             keyed = rows[rows["key"].notna()]
+            keyed = keyed.assign(lane=(pd.util.hash_pandas_object(keyed["key"], index=False) % lanes).astype("int64"))
             keyless = rows[rows["key"].isna()]
             parts = [keyed.assign(kind=_OWN), keyed.assign(kind=_OLD, slice=keyed["slice"] + slices),
-                     keyless.assign(kind=_KEYLESS, slice=keyless["row_id"].fillna(0).astype("int64") % _SPREAD)]
-            at = ["key", "slice", "at", "end_ms"]
+                     keyless.assign(kind=_KEYLESS, lane=keyless["row_id"].fillna(0).astype("int64") % lanes)]
+            at = ["lane", "key", "slice", "at", "end_ms"]
             if slices > 1 and len(keyed):
                 sums = []
                 for i, column in enumerate(_columns(features)):
@@ -98,20 +98,20 @@ def _spread(features: Sequence[Rolling], length: int, slices: int, schema: pa.Sc
 
 
 class _Slices(StatefulProcessor):
-    """State of one (key, slice)."""
+    """State of one (lane, slice)."""
 
-    def __init__(self, features: Sequence[Rolling], window: int, length: int):
+    def __init__(self, features: Sequence[Rolling], key_kind: str, window: int, length: int):
         self.features, self.window, self.length = list(features), window, length
-        self.fields = _fields(features)
+        self.held = [("kind", "int"), ("key", key_kind), ("us", "long"), ("row_id", "long"), *_fields(features)]
+        self.sums = [("key", key_kind), ("which", "int"), ("value", "string"), ("n", "long"), ("s", "double")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        names = ", ".join(f"{name} {kind}" for name, kind in self.fields)
-        self.rows = handle.getListState("rows", f"kind int, us long, row_id long, {names}")
-        self.between = handle.getListState("between", "which int, value string, n long, s double")
+        self.rows = handle.getListState("rows", ", ".join(f"{name} {kind}" for name, kind in self.held))
+        self.between = handle.getListState("between", ", ".join(f"{name} {kind}" for name, kind in self.sums))
 
-    def _plain(self, key, ids: pd.Series, late: bool) -> pd.DataFrame:
-        out = pd.DataFrame({"key": [key[0]] * len(ids), "row_id": ids.astype("int64").to_numpy(), "late": late})
+    def _plain(self, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        out = pd.DataFrame({"key": rows["key"].to_numpy(), "row_id": rows["row_id"].astype("int64").to_numpy(), "late": late})
         return out.assign(**{f.name: None for f in self.features})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -119,36 +119,32 @@ class _Slices(StatefulProcessor):
         for part in rows:
             keyless = part[(part["kind"] == _KEYLESS) & part["row_id"].notna()]
             if len(keyless):
-                yield self._plain(key, keyless["row_id"], False)
+                yield self._plain(keyless, False)
             part = part[part["kind"] != _KEYLESS]
             late = part["end_ms"] <= mark
             lost = part[late & (part["kind"] == _OWN)]
             if len(lost):
-                yield self._plain(key, lost["row_id"], True)
+                yield self._plain(lost, True)
             part = part[~late]
             open_ |= len(part) > 0
-            held = part[part["kind"] != _BETWEEN]
-            if len(held):
-                names = ["kind", "us", "row_id", *[name for name, _ in self.fields]]
-                self.rows.appendList(_tuples(held[names], {"kind": int, "us": int, "row_id": int, **{n: _KIND[k] for n, k in self.fields}}))
-            sums = part[part["kind"] == _BETWEEN]
-            if len(sums):
-                self.between.appendList(_tuples(sums[["which", "value", "n", "s"]], {"which": int, "value": str, "n": int, "s": float}))
+            for state, layout, some in (
+                (self.rows, self.held, part[part["kind"] != _BETWEEN]), (self.between, self.sums, part[part["kind"] == _BETWEEN])):
+                if len(some):
+                    state.appendList(_tuples(some, layout))
         if open_:
             self.handle.registerTimer(-(-(int(key[1]) + 1) * self.length // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        names = ["kind", "us", "row_id", *[name for name, _ in self.fields]]
-        rows = pd.DataFrame(list(self.rows.get()), columns=names)
-        between = pd.DataFrame(list(self.between.get()), columns=["which", "value", "n", "s"])
+        rows = pd.DataFrame(list(self.rows.get()), columns=[name for name, _ in self.held])
+        between = pd.DataFrame(list(self.between.get()), columns=[name for name, _ in self.sums])
         self.rows.clear()
         self.between.clear()
-        own = rows[rows["kind"] == _OWN].sort_values("us", kind="stable")
-        old = rows[rows["kind"] == _OLD].sort_values("us", kind="stable")
+        own = rows[rows["kind"] == _OWN]
         if len(own):
-            out = pd.DataFrame({"key": [key[0]] * len(own), "row_id": own["row_id"].to_numpy(), "late": False})
+            lane = _Lane(own, rows[rows["kind"] == _OLD], between, int(key[1]) * self.length, self.window)
+            out = pd.DataFrame({"key": lane.own["key"].to_numpy(), "row_id": lane.own["row_id"].to_numpy(), "late": False})
             for f in self.features:
-                out[f.name] = _read(f, _columns(self.features).index(f.column), own, old, between, self.window)
+                out[f.name] = lane.read(f, _columns(self.features).index(f.column))
             for start in range(0, len(out), _BATCH):
                 yield out.iloc[start : start + _BATCH]
 
@@ -156,64 +152,91 @@ class _Slices(StatefulProcessor):
         pass
 
 
-_KIND = {"long": int, "double": float, "string": str}
-
-
-def _tuples(rows: pd.DataFrame, kinds: dict[str, type]) -> list[tuple]:
+def _tuples(rows: pd.DataFrame, layout: list[tuple[str, str]]) -> list[tuple]:
     """Rows as plain values; missing ones are None."""
-    lists = [[None if v is None or v != v else kinds[c](v) for v in rows[c].tolist()] for c in rows.columns]
+    kinds = {"int": int, "long": int, "bigint": int, "double": float, "string": str}
+    lists = [[None if v is None or v != v else kinds.get(kind, lambda x: x)(v) for v in rows[name].tolist()] for name, kind in layout]
     return list(zip(*lists))
 
 
-def _read(f: Rolling, i: int, own: pd.DataFrame, old: pd.DataFrame, between: pd.DataFrame, window: int) -> np.ndarray:
-    """One feature for every row of ``own``, which like ``old`` is in the order of time."""
-    now = own["us"].to_numpy("int64")
-    upto = np.searchsorted(now, now, "right")
-    gone = np.searchsorted(old["us"].to_numpy("int64"), now - window, "right")
-    carried = between[(between["which"] == i) & between["value"].isna()]
-
-    def total(column: str, kept: float) -> np.ndarray:
-        before = np.concatenate(([0], np.cumsum(own[column].fillna(0).to_numpy())))
-        after = np.concatenate(([0], np.cumsum(old[column].fillna(0).to_numpy())))
-        return kept + before[upto] + (after[-1] - after[gone])
-
-    n = total(f"f{i}", int(carried["n"].sum())).astype("int64")
-    if f.kind == "count":
-        return n
-    if f.kind in ("sum", "mean"):
-        s = total(f"d{i}", float(carried["s"].sum()))
-        return s if f.kind == "sum" else np.where(n > 0, s / np.maximum(n, 1), np.nan)
-    kinds, cost = _distinct(f"t{i}", own, old, between[(between["which"] == i) & between["value"].notna()], window, now)
-    if f.kind == "nunique":
-        return kinds
-    return np.where(kinds > 1, np.log2(np.maximum(n, 1)) - cost / np.maximum(n, 1), 0.0)
+class _Lane:
+    """The rows of one slice of a lane, of all its keys. A place is a key's number and a time in one number, so that one
+    sorted array serves all keys: each has four windows of room, and a slice's own rows stand after the first."""
+
+    def __init__(self, own: pd.DataFrame, old: pd.DataFrame, between: pd.DataFrame, start: int, window: int):
+        codes = pd.Index(own["key"].unique())
+        self.keys, self.window, self.room = len(codes), window, 4 * window
+
+        def placed(rows: pd.DataFrame, moved: int) -> pd.DataFrame:
+            code = codes.get_indexer(rows["key"])
+            at = code.astype("int64") * self.room + (rows["us"].to_numpy("int64") - start + window + moved)
+            return rows.assign(code=code, at=at)[code >= 0].sort_values("at", kind="stable")
+
+        self.own, self.old = placed(own, 0), placed(old, 0)
+        code = codes.get_indexer(between["key"])
+        self.between = between.assign(code=code)[code >= 0]
+        self.now, self.code = self.own["at"].to_numpy("int64"), self.own["code"].to_numpy("int64")
+        self.first = self.code * self.room
+
+    def _span(self, places: np.ndarray, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums of what stands from ``low`` on up to ``high``, both included."""
+        upto = np.concatenate(([0], np.cumsum(values)))
+        return upto[np.searchsorted(places, high, "right")] - upto[np.searchsorted(places, low, "left")]
+
+    def _total(self, column: str, carried: pd.Series) -> np.ndarray:
+        kept = np.zeros(self.keys, dtype=carried.dtype)
+        np.add.at(kept, self.between.loc[carried.index, "code"].to_numpy("int64"), carried.to_numpy())
+        seen = self._span(self.now, self.first, self.now, self.own[column].fillna(0).to_numpy())
+        still = self._span(self.old["at"].to_numpy("int64"), self.now - self.window + 1, self.first + self.room - 1, self.old[column].fillna(0).to_numpy())
+        return kept[self.code] + seen + still
+
+    def read(self, f: Rolling, i: int) -> np.ndarray:
+        """One feature for every row of ``own``."""
+        carried = self.between[(self.between["which"] == i) & self.between["value"].isna()]
+        n = self._total(f"f{i}", carried["n"].astype("int64")).astype("int64")
+        if f.kind == "count":
+            return n
+        if f.kind in ("sum", "mean"):
+            s = self._total(f"d{i}", carried["s"].astype("float64"))
+            return s if f.kind == "sum" else np.where(n > 0, s / np.maximum(n, 1), np.nan)
+        kinds, cost = self._distinct(f"t{i}", self.between[(self.between["which"] == i) & self.between["value"].notna()])
+        if f.kind == "nunique":
+            return kinds
+        return np.where(kinds > 1, np.log2(np.maximum(n, 1)) - cost / np.maximum(n, 1), 0.0)
+
+    def _distinct(self, column: str, between: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values in the frame of each row, and the sum of c * log2 c over their numbers of copies."""
+        entering, leaving = self.own[self.own[column].notna()], self.old[self.old[column].notna()]
+        code = np.concatenate((entering["code"], leaving["code"], between["code"])).astype("int64")
+        value = pd.factorize(np.concatenate((entering[column], leaving[column], between["value"])).astype(object))[0]
+        pair, of = np.unique(code * (value.max(initial=0) + 1) + value, return_inverse=True)
+        n_in, n_moves = len(entering), len(entering) + len(leaving)
+        # copies of each value of a key when its slice begins
+        base = np.zeros(len(pair), "int64")
+        np.add.at(base, of[n_in:n_moves], 1)
+        np.add.at(base, of[n_moves:], between["n"].to_numpy("int64"))
+        key_of = np.zeros(len(pair), "int64")
+        key_of[of] = code
+        first_kinds, first_cost = np.zeros(self.keys, "int64"), np.zeros(self.keys)
+        np.add.at(first_kinds, key_of, (base > 0).astype("int64"))
+        np.add.at(first_cost, key_of, _cost(base))
+        at = np.concatenate((entering["at"].to_numpy("int64"), leaving["at"].to_numpy("int64") + self.window))
+        order = np.argsort(at, kind="stable")
+        at, which = at[order], of[:n_moves][order]
+        step = np.concatenate((np.ones(n_in, "int64"), -np.ones(n_moves - n_in, "int64")))[order]
+        after = base[which] + pd.Series(step).groupby(which).cumsum().to_numpy("int64")
+        before = after - step
+        kinds = self._span(at, self.first, self.now, (after > 0).astype("int64") - (before > 0))
+        cost = self._span(at, self.first, self.now, _cost(after) - _cost(before))
+        return first_kinds[self.code] + kinds, first_cost[self.code] + cost
 
 
 def _cost(copies: np.ndarray) -> np.ndarray:
     return np.where(copies > 0, copies * np.log2(np.maximum(copies, 1)), 0.0)
 
 
-def _distinct(column: str, own: pd.DataFrame, old: pd.DataFrame, between: pd.DataFrame, window: int, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in the frame of each row, and the sum of c * log2 c over their numbers of copies."""
-    entering, leaving = own[own[column].notna()], old[old[column].notna()]
-    carried = [between.groupby("value")["n"].sum().astype("int64"), leaving.groupby(column).size().astype("int64")]
-    start = pd.concat([c for c in carried if len(c)] or carried[1:]).groupby(level=0).sum()
-    moves = pd.DataFrame({
-        "value": pd.concat([entering[column], leaving[column]]).to_numpy(),
-        "at": np.concatenate((entering["us"].to_numpy("int64"), leaving["us"].to_numpy("int64") + window)),
-        "step": np.concatenate((np.ones(len(entering), "int64"), -np.ones(len(leaving), "int64")))}).sort_values("at", kind="stable")
-    base = start.reindex(moves["value"], fill_value=0).to_numpy("int64")
-    after = base + moves.groupby("value", sort=False)["step"].cumsum().to_numpy("int64")
-    before = after - moves["step"].to_numpy("int64")
-    first = start.to_numpy("int64")
-    kinds = np.concatenate(([(first > 0).sum()], (after > 0).astype("int64") - (before > 0))).cumsum()
-    cost = np.concatenate(([_cost(first).sum()], _cost(after) - _cost(before))).cumsum()
-    seen = np.searchsorted(moves["at"].to_numpy("int64"), now, "right")
-    return kinds[seen].astype("int64"), cost[seen]
-
-
 def trailing(
-    df: DataFrame, key: str, row_id: str, features: Sequence[Rolling], window: str | int, delay: str | int, ts: str = "ts", slices: int = 8
+    df: DataFrame, key: str, row_id: str, features: Sequence[Rolling], window: str | int, delay: str | int, ts: str = "ts", slices: int = 8, lanes: int = 16
 ) -> DataFrame:
     """Key, row id, the features and ``late`` of every row of a stream with a time.
 
@@ -237,15 +260,15 @@ def trailing(
     kind = df.schema[key].dataType.simpleString()
     fields = ", ".join(f"{name} {t}" for name, t in _fields(features))
     layout = T._parse_datatype_string(
-        f"key {kind}, slice long, at timestamp, end_ms long, kind int, us long, row_id long, {fields}, which int, value string, n long, s double")
-    spread = rows.mapInArrow(_spread(features, length, slices, to_arrow_schema(layout)), layout)
+        f"lane long, key {kind}, slice long, at timestamp, end_ms long, kind int, us long, row_id long, {fields}, which int, value string, n long, s double")
+    spread = rows.mapInArrow(_spread(features, length, slices, lanes, to_arrow_schema(layout)), layout)
     types = {"count": "long", "nunique": "long"}
     out = ", ".join(f"{f.name} {types.get(f.kind, 'double')}" for f in features)
     return (
         spread.withWatermark("at", f"{window_micros(delay) + length} microseconds")
         .drop("at")
-        .groupBy("key", "slice")
-        .transformWithStateInPandas(_Slices(features, span, length), f"key {kind}, row_id long, late boolean, {out}", "Append", "EventTime")
+        .groupBy("lane", "slice")
+        .transformWithStateInPandas(_Slices(features, kind, span, length), f"key {kind}, row_id long, late boolean, {out}", "Append", "EventTime")
         .select(F.col("key").alias(key), F.col("row_id").alias(row_id), *[f.name for f in features], "late")
         .observe("emitted", F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"))
     )
