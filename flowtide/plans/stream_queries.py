@@ -84,6 +84,25 @@ def stream_rolling(spark, folder):
     return spark.read.parquet(out).select("flow_id", "n", "ports", F.round("bytes", 6).alias("bytes"))
 
 
+@query(
+    "stream_range_join",
+    """SELECT a.flow_id, CAST(count(b.dst_port) AS BIGINT) AS n_before, round(sum(b.flow_bytes_s), 6) AS bytes_before
+       FROM flows a JOIN flows b ON a.src_ip = b.src_ip AND b.ts > a.ts - INTERVAL 1 HOUR AND b.ts <= a.ts GROUP BY a.flow_id""",
+    "flows",
+)
+def stream_range_join(spark, folder):
+    """The per-key range self-join as a join of two streams, for the flows of the last hour of each."""
+    out, log = fresh_path(spark, "range-pairs"), fresh_path(spark, "range-pairs-log")
+
+    def start(flows):
+        pairs = streams.interval_pairs(_utc(flows), _utc(flows), "src_ip", "flow_id", ["dst_port", "flow_bytes_s"], "1 hour", "10 minutes")
+        return streams.write_stream(pairs, out, log)
+
+    _run_landed(spark, folder, start)
+    pairs = spark.read.parquet(out)
+    return pairs.groupBy("flow_id").agg(F.count("dst_port").alias("n_before"), F.round(F.sum("flow_bytes_s"), 6).alias("bytes_before"))
+
+
 @query(
     "stream_rates",
     """SELECT src_ip, CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_us, CAST(count(*) AS BIGINT) AS n_flows, round(sum(flow_bytes_s), 6) AS bytes_s

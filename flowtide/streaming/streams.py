@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowtide.functions.timing import event_micros, window_micros
 from flowtide.operators.live import append_rules, live_flows
 from flowtide.operators.rules import rule_key
 
@@ -106,6 +107,29 @@ def rates(df: DataFrame, key: str, window: str, delay: str, slide: str | None =
     )
 
 
+def interval_pairs(
+    rows: DataFrame, others: DataFrame, key: str, row_id: str, values: list[str], window: str, delay: str, ts: str = "ts"
+) -> DataFrame:
+    """Row id of each row of one stream with ``values`` of every row of another that has its key and a time in the window
+    up to its own: the pairs of the trailing range join.
+
+    Time is cut into buckets as wide as the window and the other side is there in its own and the next one, so a busy
+    key is spread over its buckets. Either side is kept until the watermark says that nothing can match it any more.
+    """
+    width = window_micros(window)
+
+    def bucket(df: DataFrame) -> Column:
+        return F.floor(event_micros(df, ts) / width)
+
+    left = rows.withWatermark(ts, delay).select(F.col(row_id), F.col(key).alias("__key"), F.col(ts).alias("__at"), bucket(rows).alias("__bucket"))
+    right = others.withWatermark(ts, delay).select(
+        F.col(key).alias("__other"), F.col(ts).alias("__then"), F.explode(F.array(bucket(others), bucket(others) + 1)).alias("__its"), *values)
+    span = F.expr(f"INTERVAL {width} MICROSECONDS")
+    met = (F.col("__key") == F.col("__other")) & (F.col("__bucket") == F.col("__its"))
+    met &= (F.col("__then") > F.col("__at") - span) & (F.col("__then") <= F.col("__at"))
+    return left.join(right, met).select(row_id, *values)
+
+
 def unique_rules(rules: DataFrame, ts: str, horizon: str, salts: int = 16) -> DataFrame:
     """Rules not seen within the horizon, by rule key; state is forgotten behind the watermark.
 

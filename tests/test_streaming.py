@@ -96,7 +96,7 @@ def test_rates_and_rules_count_late_rows(spark, tmp_path):
     assert counts["read"] == counts["emitted"] + counts["late"] + counts["copies"]
 
 
-@pytest.mark.parametrize("name", ["stream_rates", "stream_rules", "stream_rolling"])
+@pytest.mark.parametrize("name", ["stream_rates", "stream_rules", "stream_rolling", "stream_range_join"])
 def test_many_files_give_the_same_rows(spark, small, tmp_path, name):
     """The table as nine files in no order of time."""
     spark.read.parquet(f"{small}/events.parquet").orderBy(F.xxhash64("event_id")).repartition(9).write.parquet(str(tmp_path / "events.parquet"))
