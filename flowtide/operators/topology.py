@@ -41,16 +41,15 @@ def host_ports(ports: DataFrame, switches: DataFrame) -> DataFrame:
         .join(known, "dpid", "left_semi")
         .select("dpid", "port_no", "port_name", infer_host_ip(F.col("dpid"), p).alias("ipv4"))
     )
-    one = F.pmod("dpid", F.lit(1)).alias("__all")  # the same key everywhere, but no literal, so this is an equi-join
-    found = discovered.select(one).distinct()
     defaults = (
         ports.sparkSession.createDataFrame(DEFAULT_HOSTS, "dpid long, port_no long, ipv4 string")
         .join(known, "dpid", "left_semi")
-        .select("dpid", "port_no", F.lit(None).cast("string").alias("port_name"), "ipv4", one)
-        .join(found, "__all", "left_anti")
+        .select("dpid", "port_no", F.lit(None).cast("string").alias("port_name"), "ipv4")
+        .where(~discovered.select("dpid").exists())
     )
-    hosts = discovered.select("*", one).unionByName(defaults)
-    numbered = ranked(hosts, ["__all"], F.col("dpid"), [F.col("dpid"), F.col("port_no"), F.col("port_name")], "n")
+    # hosts are numbered over all switches: only the number of hosts of each switch meets in one task
+    hosts = discovered.unionByName(defaults)
+    numbered = ranked(hosts, [], F.col("dpid"), [F.col("dpid"), F.col("port_no"), F.col("port_name")], "n")
     return numbered.select(
         "dpid", "port_no", "ipv4", F.concat(F.lit("00:00:00:00:00:0"), _text(F.col("n"))).alias("mac")
     )
