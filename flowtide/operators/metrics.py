@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.operators.segments import running_sums
+from flowtide.operators.segments import ROWS_PER_CUT, even_cuts, running_sums
+from flowtide.session import materialize
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -110,22 +111,22 @@ def cv_scores(df: DataFrame, fold: str, truth: str, prediction: str) -> DataFram
     return balanced.join(weighted, fold)
 
 
-def pr_curve(df: DataFrame, cls: str, score: str, positive: str, bins: int | None = None) -> DataFrame:
+def pr_curve(df: DataFrame, cls: str, score: str, positive: str, bins: int | None = None, rows: int = ROWS_PER_CUT) -> DataFrame:
     """One-vs-rest precision-recall points per class, one per distinct score (a threshold),
     and the closing point (precision 1, recall 0).
 
     Rows collapse to one per distinct score before any ordering, and each class's scores are
-    then summed in segments of the score range. ``bins`` rounds scores down to 1/bins first.
+    then summed in segments of about ``rows`` of them, cut finer where scores crowd. ``bins`` rounds scores down to 1/bins first.
     """
     value = F.floor(F.col(score) * bins) / bins if bins else F.col(score)
     points = df.groupBy(F.col(cls).alias("class_id"), value.alias("threshold")).agg(
         F.sum(F.col(positive).cast("long")).alias("tp_here"), F.count(F.lit(1)).alias("n_here")
     )
     totals = points.groupBy("class_id").agg(F.sum("tp_here").alias("positives"))
-    # Descending order: segments are negated so that they do not decrease along it.
-    segment = F.floor(-F.col("threshold") * 1024)
+    # Descending order: cuts are made along the negated threshold so that they do not decrease along it.
+    points = materialize(points.withColumn("__down", -F.col("threshold")), "pr-points")
     summed = running_sums(
-        points, ["class_id"], segment, [F.col("threshold").desc()], {"tp": "tp_here", "predicted": "n_here"}
+        even_cuts(points, "__down", rows=rows), ["class_id"], F.col("__cut"), [F.col("__down")], {"tp": "tp_here", "predicted": "n_here"}
     )
     curve = summed.join(totals, "class_id").select(
         "class_id",

@@ -8,25 +8,108 @@ The summaries are aggregated map-side first, so a hot key costs one small row pe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtide.session import materialize
+
 _SEG = "__segment"
+#: Rows a segment should hold, and the parts into which a table, and then a part of it, is cut at most.
+ROWS_PER_CUT, FAN = 250_000, 1024
+#: Size of a quantile sketch (its rank error, about 0.04 %, is well below one part in ``FAN``), and the groups in
+#: which sketches of tasks are merged.
+_SKETCH, _MERGES = 16_384, 64
+
+
+def _sketch(df: DataFrame, columns: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, row count ``n``, smallest and largest of the first column and a quantile sketch ``s_x`` of each
+    column. Sketches of tasks are merged in groups first, so no task meets those of all others."""
+    named = df.select(*by, *[c.cast("double").alias(f"v_{x}") for x, c in columns.items()], F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("__part"))
+    first = f"v_{next(iter(columns))}"
+    parts = named.groupBy(*by, "__part").agg(
+        F.count(F.lit(1)).alias("n"), F.min(first).alias("low"), F.max(first).alias("high"),
+        *[F.kll_sketch_agg_double(f"v_{x}", _SKETCH).alias(f"s_{x}") for x in columns])
+    return parts.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        *[F.kll_merge_agg_double(f"s_{x}", _SKETCH).alias(f"s_{x}") for x in columns])
+
+
+def _quantiles(sketch: str, pieces: int) -> Column:
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, shares))
+
+
+def _place(bounds: Column, value: Column) -> Column:
+    """How many of the sorted ``bounds`` (fewer than 2 * ``FAN``) are at or below ``value``: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * FAN - 1).bit_length()))])
+    size = F.size(bounds)
+
+    def step(at: Column, width: Column) -> Column:
+        onto = at + width
+        return F.when((onto <= size) & (F.get(bounds, onto - 1) <= value), onto).otherwise(at)
 
+    return F.aggregate(steps, F.lit(0), step)
 
-def even_cuts(df: DataFrame, column: str, pieces: int = 256, out: str = "__cut") -> DataFrame:
-    """Add a segment number that grows with ``column`` and holds about the same number of rows
-    everywhere, from a quantile sketch: unlike fixed widths, a crowded stretch is cut finer."""
-    shares = [i / pieces for i in range(1, pieces)]
-    bounds = sorted(set(df.stat.approxQuantile(column, shares, 1 / (4 * pieces))))
-    if not bounds:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [-float("inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
+
+def even_cuts(
+    df: DataFrame, column: str, tie: str | None = None, rows: int = ROWS_PER_CUT, fan: int = FAN, out: str = "__cut"
+) -> DataFrame:
+    """Add a segment ``out``, a struct of ``cut`` and ``sub`` that does not decrease along (``column``, ``tie``)
+    and holds about ``rows`` rows, however the values are spread and however many rows there are.
+
+    Both columns are numbers. Quantile sketches set the cuts, at most ``fan`` of them. A value frequent enough to
+    fill a cut gets one of its own. Cuts that are still too large are cut again, in up to ``fan`` parts each, along
+    the column, or along ``tie`` where a cut holds one value. Nulls come first, as in an ascending order. Without
+    ``tie``, rows of one value stay together.
+    """
+    value = F.col(column).cast("double")
+    facts = _sketch(df, {"value": F.col(column)}).select("n", _quantiles("s_value", fan).alias("q")).first()
+    pieces = min(fan, -(-(facts["n"] or 0) // rows))
+    every = facts["q"] or []
+    taken = [every[max(0, -(-i * fan // pieces) - 1)] for i in range(1, pieces)] if every else []
+    bounds = {b for b in taken if math.isfinite(b)}
+    bounds |= {math.nextafter(b, math.inf) for b in bounds if taken.count(b) > 1}
+    listed = F.array(*[F.lit(b) for b in sorted(bounds)]).cast("array<double>")
+    cut = F.when(value.isNull(), F.lit(-1)).otherwise(_place(listed, value))
+    one = df.withColumn("__top", cut)
+    large = pieces == fan or len(bounds) > len(set(taken))
+    if not large:
+        return one.withColumn(out, F.struct(F.col("__top").alias("cut"), F.lit(0).alias("sub"))).drop("__top")
+    columns = {"value": F.col(column)} | ({"tie": F.col(tie)} if tie else {})
+    sizes = _sketch(one, columns, ["__top"]).where(F.col("n") > 2 * rows)
+    same = F.col("low").isNull() | (F.col("low") == F.col("high"))
+    by_tie = same if tie else F.lit(False)
+    chosen = F.when(by_tie, _quantiles("s_tie" if tie else "s_value", fan)).otherwise(_quantiles("s_value", fan))
+    each = F.greatest(F.lit(1), F.floor(F.lit(fan) * rows / F.col("n")).cast("int"))
+    thinned = F.array_distinct(F.filter(chosen, lambda _, i: (i + 1) % F.col("each") == 0))
+    inner = sizes.withColumn("each", each).select(
+        F.col("__top").alias("__of"), by_tie.alias("__by_tie"), thinned.alias("__bounds"))
+    # written, as sketches are random: a task that runs again must find the same bounds
+    joined = one.join(materialize(inner, "cuts"), F.col("__top") == F.col("__of"), "left")
+    along = F.when(F.col("__by_tie"), F.col(tie).cast("double")).otherwise(value) if tie else value
+    sub = F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(F.coalesce(_place(F.col("__bounds"), along), F.lit(0)))
+    return joined.withColumn(out, F.struct(F.col("__top").alias("cut"), sub.alias("sub"))).drop("__top", "__of", "__by_tie", "__bounds")
+
+
+def numbered(
+    df: DataFrame, column: str, order: Sequence[Column], tie: str | None = None, rows: int = ROWS_PER_CUT, fan: int = FAN, out: str = "n"
+) -> DataFrame:
+    """``row_number()`` over the whole table in ``order``, which begins with ``column``, and no task that sees all
+    of it: parts are numbered on their own, and the driver adds up the sizes of the few cuts."""
+    cut = even_cuts(df, column, tie, rows, fan).withColumn("__top", F.col("__cut.cut"))
+    sizes = sorted(tuple(r) for r in cut.groupBy("__top").agg(F.count(F.lit(1))).collect())
+    starts = [(top, sum(n for _, n in sizes[:i])) for i, (top, _) in enumerate(sizes)]
+    before = df.sparkSession.createDataFrame(starts, "__at int, __before long")
+    ranks = ranked(cut, ["__top"], F.col("__cut.sub"), order, out)
+    return (
+        ranks.join(before, F.col("__top") == F.col("__at"))
+        .withColumn(out, F.col(out) + F.col("__before"))
+        .drop("__cut", "__top", "__at", "__before")
+    )
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

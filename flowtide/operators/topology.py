@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.timing import event_micros
 from flowtide.operators.rules import host_name
-from flowtide.operators.segments import even_cuts, last_known, ranked
+from flowtide.operators.segments import ROWS_PER_CUT, even_cuts, last_known, numbered
 
 # The switch-local port, default hosts, reply for an unknown destination.
 LOCAL_PORT = 4294967294
@@ -47,10 +47,10 @@ def host_ports(ports: DataFrame, switches: DataFrame) -> DataFrame:
         .select("dpid", "port_no", F.lit(None).cast("string").alias("port_name"), "ipv4")
         .where(~discovered.select("dpid").exists())
     )
-    # hosts are numbered over all switches: only the number of hosts of each switch meets in one task
+    # hosts are numbered over all switches
     hosts = discovered.unionByName(defaults)
-    numbered = ranked(hosts, [], F.col("dpid"), [F.col("dpid"), F.col("port_no"), F.col("port_name")], "n")
-    return numbered.select(
+    counted = numbered(hosts, "dpid", [F.col("dpid"), F.col("port_no"), F.col("port_name")], "port_no")
+    return counted.select(
         "dpid", "port_no", "ipv4", F.concat(F.lit("00:00:00:00:00:0"), _text(F.col("n"))).alias("mac")
     )
 
@@ -69,10 +69,9 @@ def with_blocked_flag(hosts: DataFrame, blocked: DataFrame, ip: str = "ipv4") ->
 
 def linear_links(switches: DataFrame) -> DataFrame:
     """A link from each switch to the next by id."""
-    listed = switches.select("dpid").distinct().withColumn("__all", F.lit(1))
-    numbered = ranked(listed, ["__all"], F.floor(F.col("dpid") / 1000), [F.col("dpid")], "n").drop("__all")
-    following = numbered.select(F.col("dpid").alias("next_dpid"), (F.col("n") - 1).alias("n"))
-    return numbered.join(following, "n").select("dpid", "next_dpid")
+    counted = numbered(switches.select("dpid").distinct(), "dpid", [F.col("dpid")])
+    following = counted.select(F.col("dpid").alias("next_dpid"), (F.col("n") - 1).alias("n"))
+    return counted.join(following, "n").select("dpid", "next_dpid")
 
 
 def topology_nodes(switches: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -151,12 +150,12 @@ def mac_table(packets: DataFrame) -> DataFrame:
     return packets.groupBy("dpid", "src").agg(F.max_by("in_port", seen).alias("port"))
 
 
-def asof_forwarding(packets: DataFrame, segments: int = 256) -> DataFrame:
+def asof_forwarding(packets: DataFrame, rows: int = ROWS_PER_CUT) -> DataFrame:
     """Output port of each packet: where its destination was last seen at or before it, on the
     same switch, counting the packet's own source first; FLOOD when never seen."""
     packets = _forwarded(packets)
     timed = packets.select("packet_id", "dpid", "src", "dst", "in_port", event_micros(packets, "ts").alias("us"))
-    cut = even_cuts(timed, "us", segments)
+    cut = even_cuts(timed, "us", "packet_id", rows)
     observed = F.struct(F.col("src").alias("addr"), F.lit(0).alias("kind"), F.col("in_port").alias("port"))
     asked = F.struct(F.col("dst").alias("addr"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("port"))
     both = cut.select("packet_id", "dpid", "us", "__cut", F.inline_outer(F.array(observed, asked)))

@@ -436,7 +436,7 @@ def inference_features(spark, folder):
 def row_ids(spark, folder):
     flows = adapters.flows(spark, folder)
     keyed = flows.select("flow_id", "src_ip", event_micros(flows, "ts").alias("us"))
-    cut = segments.even_cuts(keyed, "us", 32)
+    cut = segments.even_cuts(keyed, "us", "flow_id")
     numbered = segments.ranked(cut, ["src_ip"], F.col("__cut"), [F.col("us"), F.col("flow_id")], out="idx")
     return numbered.select("flow_id", "idx")
 

@@ -464,4 +464,4 @@ def mac_table(spark, folder):
     "packets",
 )
 def asof_forwarding(spark, folder):
-    return topology.asof_forwarding(adapters.packets(spark, folder), 32)
+    return topology.asof_forwarding(adapters.packets(spark, folder))

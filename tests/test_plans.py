@@ -28,12 +28,17 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", [n for n in NATIVE if n not in HEAVY])
-def test_no_python_no_cross_join_no_single_task_sort(spark, small, name):
+def test_no_python_no_cross_join(spark, small, name):
     text = plan(entry.queries()[name](spark, small))
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["row_ids", "asof_forwarding", "linear_links", "topology_graph", "host_ports", "pr_curve"])
+def test_no_window_in_one_task(spark, small, name):
+    assert "SinglePartition" not in plan(entry.queries()[name](spark, small))
+
+
 def test_scan_reads_only_what_is_asked(spark, small):
     text = plan(entry.queries()["rolling_count"](spark, small))
     reads = re.findall(r"ReadSchema: struct<([^>]*)>", text)
