@@ -2,7 +2,7 @@
 
 Fitting collects statistics and dictionaries only, never rows. A dictionary is read through a
 limit one above its bound, so a column with too many categories fails instead of growing the
-driver; such columns belong in ``vector_stage``, which hashes them.
+driver; such columns belong in ``dictionaries.SparseEncoder`` or, hashed, in ``vector_stage``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def distinct_sorted(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) ->
         df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
     )
     if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
+        raise ValueError(f"{column} has more than {limit} categories; encode it with dictionaries.SparseEncoder")
     return sorted(r[0] for r in rows)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.flow import port_category, protocol_category
 from flowtide.functions.timing import event_micros, parse_timestamp
-from flowtide.operators import cleaning, encoding, features, profile, rolling, sampling, segments
+from flowtide.operators import cleaning, dictionaries, encoding, features, profile, rolling, sampling, segments
 from flowtide.operators.rolling import Rolling
 from flowtide.plans.registry import query
 from flowtide.schemas import FLOW_COLUMNS, FLOW_SCHEMA
@@ -545,6 +545,42 @@ def label_encode(spark, folder):
     return codes.decode(codes.encode(flows, "label"), "label_code", "decoded").drop("label")
 
 
+@query(
+    "dictionary_codes",
+    """SELECT flow_id, s.code AS src_code, d.code AS dst_code, f.src_ip AS src_back FROM flows f
+       JOIN (SELECT src_ip, dense_rank() OVER (ORDER BY src_ip) - 1 AS code FROM (SELECT DISTINCT src_ip FROM flows)) s ON f.src_ip = s.src_ip
+       JOIN (SELECT dst_ip, dense_rank() OVER (ORDER BY dst_ip) - 1 AS code FROM (SELECT DISTINCT dst_ip FROM flows)) d ON f.dst_ip = d.dst_ip""",
+    "flows",
+)
+def dictionary_codes(spark, folder):
+    """Addresses to codes through a dictionary of any size, and back."""
+    flows = adapters.flows(spark, folder).select("flow_id", "src_ip", "dst_ip")
+    known = dictionaries.Dictionary.fit(flows, ["src_ip", "dst_ip"])
+    coded = known.encode(known.encode(flows, "src_ip", "src_code", "fail"), "dst_ip", "dst_code", "fail")
+    return known.decode(coded, "src_code", "src_ip", "src_back").drop("src_ip", "dst_ip")
+
+
+@query(
+    "sparse_features",
+    """WITH s AS (SELECT src_ip, dense_rank() OVER (ORDER BY src_ip) - 1 AS code FROM (SELECT DISTINCT src_ip FROM flows)),
+        d AS (SELECT dst_ip, dense_rank() OVER (ORDER BY dst_ip) - 1 AS code FROM (SELECT DISTINCT dst_ip FROM flows)),
+        n AS (SELECT count(DISTINCT src_ip) AS src, count(DISTINCT dst_ip) AS dst, avg(flow_duration) AS m, stddev_pop(flow_duration) AS sd FROM flows)
+        SELECT flow_id, CAST(src + dst + 1 AS INT) AS width, CAST(s.code AS INT) AS src_place, CAST(src + d.code AS INT) AS dst_place,
+          round((flow_duration - m) / sd, 6) AS scaled
+        FROM flows f JOIN s ON f.src_ip = s.src_ip JOIN d ON f.dst_ip = d.dst_ip, n""",
+    "flows",
+)
+def sparse_features(spark, folder):
+    """One sparse vector a flow, addresses one-hot: its width, the places that are set and the number behind them."""
+    flows = adapters.flows(spark, folder).select("flow_id", "src_ip", "dst_ip", "flow_duration")
+    made = dictionaries.SparseEncoder.fit(flows, ["flow_duration"], ["src_ip", "dst_ip"]).transform(flows)
+    # the sparse parts as they are stored; a scaled number of exactly 0 is not stored
+    vector = F.from_json(F.to_json(F.struct("features")), "features struct<size int, indices array<int>, values array<double>>").getField("features")
+    return made.select("flow_id", vector.alias("v")).select(
+        "flow_id", F.col("v.size").alias("width"), F.get("v.indices", F.lit(0)).alias("src_place"), F.get("v.indices", F.lit(1)).alias("dst_place"),
+        F.round(F.coalesce(F.get("v.values", F.lit(2)), F.lit(0.0)), 6).alias("scaled"))
+
+
 @query(
     "transform_data",
     f"""WITH f AS (SELECT flow_id, label, flow_duration, substr({_DIGEST}, 1, 15) < '333333333333333' AS is_test FROM flows),
