@@ -6,6 +6,7 @@ trees are one-vs-rest, and the perceptron uses sigmoid layers with L-BFGS.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 
@@ -26,7 +27,7 @@ from flowtide.functions.vectors import softmax
 from flowtide.operators.metrics import class_weights
 from flowtide.operators.neighbors import nearest, neighbour_vote
 from flowtide.operators.sampling import stratified_folds
-from flowtide.session import path_exists
+from flowtide.session import materialize, path_exists
 
 # Seed, search space, trial and fold numbers, training limits.
 SEED = 42
@@ -47,6 +48,10 @@ BOOSTING_ROUNDS = 100
 MLP_HIDDEN = [128, 64]
 MLP_EPOCHS = 100
 MLP_BLOCK = 512
+MLP_PATIENCE = 7
+MLP_FOLDS = 10
+# Epochs between two looks at the held-out rows; patience is in epochs too.
+MLP_STEP = 5
 
 
 def with_class_weights(df: DataFrame, target: str = "target", out: str = "weight") -> DataFrame:
@@ -74,11 +79,86 @@ def fit_boosted(train: DataFrame, row_id: str, rounds: int = BOOSTING_ROUNDS, va
     return OneVsRest(classifier=booster, featuresCol="features", labelCol="target", parallelism=4).fit(held)
 
 
-def fit_perceptron(train: DataFrame, classes: int, epochs: int = MLP_EPOCHS, hidden: Sequence[int] = MLP_HIDDEN) -> Model:
-    width = len(train.select("features").first()["features"])
+def _perceptron(layers: Sequence[int], iterations: int) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="target", layers=[width, *hidden, classes], maxIter=epochs, blockSize=MLP_BLOCK, seed=SEED
-    ).fit(train)
+        featuresCol="features", labelCol="target", layers=list(layers), maxIter=iterations, blockSize=MLP_BLOCK, seed=SEED
+    )
+
+
+def fit_perceptron_stopped(
+    train: DataFrame,
+    held: DataFrame,
+    classes: int,
+    epochs: int = MLP_EPOCHS,
+    hidden: Sequence[int] = MLP_HIDDEN,
+    step: int = MLP_STEP,
+    patience: int = MLP_PATIENCE,
+) -> tuple[Model, list[tuple[int, float]]]:
+    """The perceptron with the lowest log loss on the held-out rows, and the loss after every step.
+
+    Training goes on from the weights of the step before, ``step`` epochs at a time, and ends after ``patience``
+    epochs without a new lowest loss, when a step changes nothing, or after ``epochs``. Only the weights pass
+    through the driver. L-BFGS builds its search direction anew with each step, so steps of fewer than five epochs
+    hardly train.
+    """
+    first = train.select("features").first()
+    if first is None:
+        raise ValueError("no rows to train on")
+    layers = [first["features"].size, *hidden, classes]
+    loss = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss")
+    model, best, lowest, weak, losses = None, None, float("inf"), 0, []
+    for done in range(0, epochs, step):
+        estimator = _perceptron(layers, min(step, epochs - done))
+        if model is not None:
+            estimator = estimator.setInitialWeights(model.weights)
+        before, model = model, estimator.fit(train)
+        losses.append((min(done + step, epochs), loss.evaluate(model.transform(held))))
+        if losses[-1][1] < lowest:
+            best, lowest, weak = model, losses[-1][1], 0
+        else:
+            weak += 1
+        if weak * step >= patience or (before is not None and model.weights == before.weights):
+            break
+    # a loss that is never a number names no best step
+    return best or model, losses
+
+
+def fit_perceptron(
+    train: DataFrame,
+    classes: int,
+    row_id: str | None = None,
+    epochs: int = MLP_EPOCHS,
+    hidden: Sequence[int] = MLP_HIDDEN,
+    held_fraction: float = 0.1,
+) -> Model:
+    """With ``row_id``, a share of the rows is held out and training stops early on it; without, or where the
+    share has no rows, all epochs run on all rows."""
+    if row_id is not None:
+        from flowtide.operators.sampling import with_split
+
+        dealt = with_split(train, row_id, held_fraction, SEED + 1)
+        held, rest = dealt.where("is_test").drop("is_test"), dealt.where("NOT is_test").drop("is_test")
+        if held.first() is not None and rest.first() is not None:
+            return fit_perceptron_stopped(rest, held, classes, epochs, hidden)[0]
+    width = train.select("features").first()["features"].size
+    return _perceptron([width, *hidden, classes], epochs).fit(train)
+
+
+def fit_perceptron_folds(
+    train: DataFrame, row_id: str, classes: int, folds: int = MLP_FOLDS, epochs: int = MLP_EPOCHS, hidden: Sequence[int] = MLP_HIDDEN
+) -> tuple[Model, float]:
+    """A fresh perceptron per stratified fold, each stopped on its own held-out fold; the one with the lowest
+    held-out loss of all, and that loss."""
+    folded = materialize(stratified_folds(train, "target", row_id, folds), "perceptron-folds")
+    found = []
+    for fold in range(folds):
+        rest, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        if held.first() is None:
+            continue
+        model, losses = fit_perceptron_stopped(rest, held, classes, epochs, hidden)
+        found.append((min(loss for _, loss in losses), fold, model))
+    loss, _, model = min(found, key=lambda one: one[:2])
+    return model, loss
 
 
 def predict(model: Model, df: DataFrame, out: str, probability: str | None = None) -> DataFrame:
@@ -122,10 +202,10 @@ def fit_or_load(spark: SparkSession, path: str, fit: Callable[[], Model], load:
 
 
 def random_grid(estimator: Estimator, space: dict[str, Sequence], trials: int, seed: int = SEED) -> list[dict]:
-    """Seeded random points of a search space."""
+    """Seeded random points of a search space, all different: as many as asked for, or the whole space."""
     draw = random.Random(seed)
     points = []
-    for _ in range(trials):
+    while len(points) < min(trials, math.prod(len(set(values)) for values in space.values())):
         point = {estimator.getParam(name): draw.choice(list(values)) for name, values in space.items()}
         if point not in points:
             points.append(point)

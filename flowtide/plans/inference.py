@@ -83,7 +83,7 @@ def train_cascade(
     fitted = {
         "rfc": models.fit_forest(attacks, **params),
         "xgb": models.fit_boosted(attacks, prepared.row_id, boosting_rounds),
-        "mlp": models.fit_perceptron(attacks, len(prepared.codes.classes), epochs),
+        "mlp": models.fit_perceptron(attacks, len(prepared.codes.classes), prepared.row_id, epochs),
     }
     knn = NeighbourStage(neighbours, "euclidean", _CLASSIFICATION, "knn").remember(attacks, prepared.row_id)
     memory = NeighbourStage(RETRIEVED, "cosine", _CLASSIFICATION, "resolved", "low_agreement").holding(knn.vectors, knn.labels)

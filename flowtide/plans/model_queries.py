@@ -63,7 +63,7 @@ def gbt_multi(spark, folder):
 @query("mlp_multi")
 def mlp_multi(spark, folder):
     prepared, train, test = _stage(spark, folder, "classification")
-    model = models.fit_perceptron(train, len(prepared.codes.classes), EPOCHS)
+    model = models.fit_perceptron(train, len(prepared.codes.classes), "flow_id")
     return models.predict(model, test, "prediction").drop("features")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from flowtide.operators import models
@@ -57,7 +58,7 @@ def test_every_row_has_a_document(prepared, cascade):
 def test_probabilities_sum_to_one(prepared, cascade):
     test = inference.labelled(prepared, prepared.test, "classification")
     train = inference.labelled(prepared, prepared.train, "classification")
-    fitted = [models.fit_forest(train, **FOREST), models.fit_boosted(train, "flow_id", 2), models.fit_perceptron(train, len(prepared.codes.classes), 5)]
+    fitted = [models.fit_forest(train, **FOREST), models.fit_boosted(train, "flow_id", 2), models.fit_perceptron(train, len(prepared.codes.classes), epochs=5)]
     for model in fitted:
         total = F.aggregate("pr", F.lit(0.0), lambda a, x: a + x)
         worst = models.predict(model, test, "p", "pr").select(F.max(F.abs(total - 1)).alias("w")).first()["w"]
@@ -94,3 +95,49 @@ def test_knn_search_prefers_the_better_setting(spark):
     train = spark.createDataFrame(rows, ["flow_id", "features", "target"])
     ranked = models.search_knn(train, "flow_id", folds=2, trials=3)
     assert ranked[0][2] == 1.0 and all(a[2] >= b[2] for a, b in zip(ranked, ranked[1:]))
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Labels that follow one feature with many errors: a wide perceptron soon learns the errors."""
+    import random
+
+    from pyspark.ml.linalg import Vectors
+
+    draw = random.Random(5)
+    rows = []
+    for i in range(240):
+        x = [draw.gauss(0, 1) for _ in range(8)]
+        rows.append((i, Vectors.dense(x), int((x[0] > 0) != (draw.random() < 0.35))))
+    return spark.createDataFrame(rows, ["flow_id", "features", "target"]).coalesce(1).cache()
+
+
+def test_perceptron_stops_on_held_out_loss(noisy):
+    held, rest = noisy.where("flow_id % 3 = 0"), noisy.where("flow_id % 3 <> 0")
+    model, losses = models.fit_perceptron_stopped(rest, held, 2, epochs=100, hidden=[24], step=5, patience=15)
+    lowest = min(loss for _, loss in losses)
+    at = [loss for _, loss in losses].index(lowest)
+    assert losses[-1][0] < 100 and len(losses) - 1 - at == 3
+    # the weights of the best step are kept, not the last ones
+    assert MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss").evaluate(model.transform(held)) == pytest.approx(lowest)
+    assert losses[-1][1] > lowest
+
+
+def test_perceptron_goes_on_from_the_step_before(noisy):
+    """Steps add up: after the last one the loss on the training rows is below that of the first."""
+    _, losses = models.fit_perceptron_stopped(noisy, noisy, 2, epochs=30, hidden=[16], step=10)
+    assert [e for e, _ in losses] == [10, 20, 30] and losses[-1][1] < losses[0][1]
+
+
+def test_best_perceptron_of_folds(noisy):
+    model, loss = models.fit_perceptron_folds(noisy, "flow_id", 2, folds=2, epochs=4, hidden=[4])
+    assert 0 < loss < 1 and model.transform(noisy).count() == 240
+
+
+def test_random_points_differ_and_are_as_many_as_asked_for():
+    from pyspark.ml.classification import RandomForestClassifier
+
+    space = {"numTrees": [1, 2], "maxDepth": [3, 4]}
+    for trials, many in ((3, 3), (4, 4), (9, 4)):
+        points = models.random_grid(RandomForestClassifier(), space, trials)
+        assert len(points) == many and len({tuple(p[k] for k in sorted(p, key=lambda k: k.name)) for p in points}) == many
