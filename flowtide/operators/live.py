@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.flow import flow_endpoints, flow_rates, match_fields
 from flowtide.operators.rules import rule_key
-from flowtide.session import path_exists
+from flowtide.sources import keyed
 from flowtide.sources.files import explode_polls
 
 # Label of rows that have none yet.
@@ -42,15 +42,10 @@ def live_flows(polls: DataFrame, column: str = "raw_json", keep: tuple[str, ...]
 
 def append_rules(rules: DataFrame, path: str) -> None:
     """Store rules once: a rule already in the table, or twice in the batch, is not added."""
-    spark = rules.sparkSession
-    fresh = rules.select(*RULE_COLUMNS).withColumn("rule_key", rule_key("command_type", "priority", "rule_json"))
-    fresh = fresh.dropDuplicates(["rule_key"])
-    if path_exists(spark, f"{path}/_SUCCESS"):
-        stored = spark.read.parquet(path).select("rule_key")
-        fresh = fresh.join(stored, "rule_key", "left_anti")
-    fresh.write.mode("append").parquet(path)
+    keyed_rules = rules.select(*RULE_COLUMNS).withColumn("rule_key", rule_key("command_type", "priority", "rule_json"))
+    keyed.append_keyed(keyed.unstored(keyed_rules, path, "rule_key"), path, "rule_key")
 
 
 def reset_rules(spark: SparkSession, path: str, schema) -> None:
     """Start the rule table afresh, empty."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    keyed.create_keyed(spark, path, schema)

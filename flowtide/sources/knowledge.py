@@ -13,6 +13,7 @@ from flowtide.functions.text import chunk_text
 from flowtide.functions.vectors import l2_normalize
 from flowtide.operators.neighbors import nearest
 from flowtide.operators.retrieval import hashed_terms
+from flowtide.sources.keyed import append_keyed, unstored
 
 # Chunk size and overlap, and the places a chunk prefers to break at.
 CHUNK_SIZE = 500
@@ -74,18 +75,16 @@ def add_knowledge(
     embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Chunk, embed, normalise and append. ``embed`` adds ``embedding`` to rows with ``chunk``;
-    the offline default hashes words."""
-    chunks = chunk_text(df, text, [doc_id])
+    the offline default hashes words. A chunk is named by its document, number and text: one that is stored
+    is neither embedded nor added again, and a changed text adds its changed chunks."""
+    facts = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("chunk_no").cast("string"), F.col("chunk")]
+    chunks = chunk_text(df, text, [doc_id]).withColumn("chunk_id", F.sha2(F.concat_ws(":", *facts), 256))
+    fresh = unstored(chunks, path, "chunk_id")
     if embed:
-        vectors = embed(chunks).withColumn("embedding", l2_normalize(F.col("embedding")))
+        vectors = embed(fresh).withColumn("embedding", l2_normalize(F.col("embedding")))
     else:
-        vectors = hashed_terms(chunks, "chunk")  # already at unit length
-    vectors.select(
-        F.col(doc_id),
-        F.sha2(F.concat_ws(":", F.col(doc_id).cast("string"), F.col("chunk_no").cast("string")), 256).alias("chunk_id"),
-        "chunk",
-        "embedding",
-    ).write.mode("append").parquet(path)
+        vectors = hashed_terms(fresh, "chunk")  # already at unit length
+    append_keyed(vectors.select(doc_id, "chunk_id", "chunk", "embedding"), path, "chunk_id")
 
 
 def load_knowledge(spark: SparkSession, path: str) -> DataFrame:
