@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from flowtide.operators.neighbors import _sides, exact_pairs, hashed_pairs, nearest, nearest_hashed, neighbour_vote, recall
+from flowtide.operators.neighbors import _sides, distances, exact_pairs, hashed_pairs, nearest, nearest_hashed, nearest_places, neighbour_vote, recall
 
 
 def data(n=90, dims=4, copies=30, seed=3):
@@ -106,3 +106,36 @@ def test_hashing_finds_nine_of_ten(spark, small):
     found = nearest_hashed(queries, references, 5, exclude_same_id=True, tables=16, bits=4, probes=2)
     assert recall(found, exact) >= 0.9
     assert found.groupBy("query_id").count().agg({"count": "max"}).first()[0] == 5
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "minkowski"])
+@pytest.mark.parametrize("kind", ["plain", "copies", "one far row", "far from zero", "not finite"])
+def test_screened_pairs_are_those_of_all_distances(metric, kind):
+    """The same places and the same distances, to the last bit, with and without the own id."""
+    rng = np.random.default_rng(8)
+    some, others = rng.normal(size=(150, 6)), rng.normal(size=(1500, 6))
+    if kind == "copies":
+        some, others = some.round(0), others.round(0)
+    elif kind == "one far row":
+        others[7] = 1e7
+    elif kind == "far from zero":
+        some, others = some * 1e-6 + 1e9, others * 1e-6 + 1e9
+    elif kind == "not finite":
+        some[::9, 0], others[::7, 2] = np.inf, np.nan
+    ids = rng.integers(0, 50, 150), np.sort(rng.integers(0, 50, 1500))
+    p = 3.0 if metric == "minkowski" else 2.0
+    for own in (None, ids):
+        with np.errstate(invalid="ignore"):
+            d = distances(some, others, metric, p)
+        if own is not None:
+            d[own[0][:, None] == own[1][None, :]] = np.inf
+        want = [(i, int(j), row[j]) for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:4] if np.isfinite(row[j])]
+        assert list(zip(*(x.tolist() for x in nearest_places(some, others, 4, metric, p, own)))) == want
+
+
+def test_visits_without_structure_grow_with_chunks_not_cells(spark):
+    """Where nothing can be ruled out a query visits full chunks, not one chunk for each of the cells."""
+    points = np.random.default_rng(9).normal(size=(2000, 24))
+    left, right = _sides(frame(spark, points[:300], "query_id"), frame(spark, points, "reference_id"), "query_id", "reference_id", "embedding", False)
+    asked, _ = exact_pairs(left, right, "euclidean", 2.0, 6, None, 500)
+    assert asked.count() <= 300 * 8  # some 45 cells
