@@ -141,3 +141,28 @@ def test_random_points_differ_and_are_as_many_as_asked_for():
     for trials, many in ((3, 3), (4, 4), (9, 4)):
         points = models.random_grid(RandomForestClassifier(), space, trials)
         assert len(points) == many and len({tuple(p[k] for k in sorted(p, key=lambda k: k.name)) for p in points}) == many
+
+
+def test_many_rows_are_dealt_over_tasks(spark):
+    """One block of a file would be one task, whatever its rows."""
+    from flowtide.session import ROWS_A_TASK, spread
+
+    many = spark.range(4 * ROWS_A_TASK + 1).coalesce(1)
+    dealt = spread(many)
+    assert dealt.rdd.getNumPartitions() == 5 and dealt.distinct().count() == 4 * ROWS_A_TASK + 1
+    assert spread(many.limit(50).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_the_neighbour_stage_ranks_as_all_distances_do():
+    import numpy as np
+
+    from flowtide.operators.neighbors import distances
+    from flowtide.operators.stages import _ranked_places
+
+    draw = np.random.default_rng(3)
+    rows, references = draw.normal(size=(40, 4)).round(), draw.normal(size=(300, 4)).round()
+    rows[::5, 0], references[::3, 1] = np.nan, np.nan
+    for known in (references, references[:4]):  # of four, two have no distance
+        with np.errstate(invalid="ignore"):
+            want = np.argsort(distances(rows, known, "euclidean"), axis=1, kind="stable")[:, :3]
+        assert (_ranked_places(rows, known, 3, "euclidean") == want).all()
