@@ -71,3 +71,14 @@ def test_only_new_chunks_are_embedded(spark, tmp_path):
         add_knowledge(spark.range(last).select("id", F.concat(F.lit("text "), "id").alias("text")), "text", "id", path, embed)
     assert seen == [3, 0, 2]
     assert {tuple(round(x, 6) for x in r["embedding"]) for r in load_knowledge(spark, path).collect()} == {(0.6, 0.8)}
+
+
+def test_a_batch_of_a_stream_leaves_one_file_a_folder(spark, tmp_path):
+    """Adaptive execution is off in the batches of a stream."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "t")
+    _batch(spark, 0, 4000).write.parquet(source)
+    stream = spark.readStream.schema("k string, v string").parquet(source).dropDuplicates(["k"])
+    run = stream.writeStream.foreachBatch(lambda rows, _: _add(rows, path)).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert spark.read.parquet(path).count() == 4000
+    assert len(list((tmp_path / "t").glob("*/*.parquet"))) <= 256 + 1
