@@ -102,13 +102,13 @@ class _Slices(StatefulProcessor):
 
     def __init__(self, features: Sequence[Rolling], key_kind: str, window: int, length: int):
         self.features, self.window, self.length = list(features), window, length
-        self.held = [("kind", "int"), ("key", key_kind), ("us", "long"), ("row_id", "long"), *_fields(features)]
-        self.sums = [("key", key_kind), ("which", "int"), ("value", "string"), ("n", "long"), ("s", "double")]
+        self.held = _schema([("kind", "int"), ("key", key_kind), ("us", "long"), ("row_id", "long"), *_fields(features)])
+        self.sums = _schema([("key", key_kind), ("which", "int"), ("value", "string"), ("n", "long"), ("s", "double")])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", ", ".join(f"{name} {kind}" for name, kind in self.held))
-        self.between = handle.getListState("between", ", ".join(f"{name} {kind}" for name, kind in self.sums))
+        self.rows = handle.getListState("rows", "part binary")
+        self.between = handle.getListState("between", "part binary")
 
     def _plain(self, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
         out = pd.DataFrame({"key": rows["key"].to_numpy(), "row_id": rows["row_id"].astype("int64").to_numpy(), "late": late})
@@ -130,13 +130,12 @@ class _Slices(StatefulProcessor):
             for state, layout, some in (
                 (self.rows, self.held, part[part["kind"] != _BETWEEN]), (self.between, self.sums, part[part["kind"] == _BETWEEN])):
                 if len(some):
-                    state.appendList(_tuples(some, layout))
+                    state.appendList([_packed(some, layout)])
         if open_:
             self.handle.registerTimer(-(-(int(key[1]) + 1) * self.length // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = pd.DataFrame(list(self.rows.get()), columns=[name for name, _ in self.held])
-        between = pd.DataFrame(list(self.between.get()), columns=[name for name, _ in self.sums])
+        rows, between = _unpacked(self.rows.get(), self.held), _unpacked(self.between.get(), self.sums)
         self.rows.clear()
         self.between.clear()
         own = rows[rows["kind"] == _OWN]
@@ -152,11 +151,21 @@ class _Slices(StatefulProcessor):
         pass
 
 
-def _tuples(rows: pd.DataFrame, layout: list[tuple[str, str]]) -> list[tuple]:
-    """Rows as plain values; missing ones are None."""
-    kinds = {"int": int, "long": int, "bigint": int, "double": float, "string": str}
-    lists = [[None if v is None or v != v else kinds.get(kind, lambda x: x)(v) for v in rows[name].tolist()] for name, kind in layout]
-    return list(zip(*lists))
+def _schema(layout: list[tuple[str, str]]) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(", ".join(f"{name} {kind}" for name, kind in layout)))
+
+
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> tuple[bytes]:
+    """Rows as one value of the state: Arrow's bytes, not a value for each row."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as writer:
+        writer.write_batch(_batch(rows, schema))
+    return (out.getvalue().to_pybytes(),)
+
+
+def _unpacked(parts: Iterator[tuple], schema: pa.Schema) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(bytes(part)).read_all() for (part,) in parts]
+    return pa.concat_tables([schema.empty_table(), *tables]).to_pandas()
 
 
 class _Lane:
