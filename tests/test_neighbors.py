@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from flowtide.operators.neighbors import _sides, distances, exact_pairs, hashed_pairs, nearest, nearest_hashed, nearest_places, neighbour_vote, recall
+from flowtide.operators import neighbors
+from flowtide.operators.neighbors import CellIndex, _sides, distances, exact_pairs, hashed_pairs, nearest, nearest_hashed, nearest_places, neighbour_vote, recall
 
 
 def data(n=90, dims=4, copies=30, seed=3):
@@ -139,3 +142,30 @@ def test_visits_without_structure_grow_with_chunks_not_cells(spark):
     left, right = _sides(frame(spark, points[:300], "query_id"), frame(spark, points, "reference_id"), "query_id", "reference_id", "embedding", False)
     asked, _ = exact_pairs(left, right, "euclidean", 2.0, 6, None, 500)
     assert asked.count() <= 300 * 8  # some 45 cells
+
+
+def test_copies_are_not_compared(spark, monkeypatch):
+    """Thousands of copies on both sides: the pairs to compare do not grow with them, the answers are those of all rows."""
+    points = np.repeat(np.arange(8.0).reshape(4, 2), 500, axis=0)
+    seen = []
+    whole = neighbors.exact_pairs
+    monkeypatch.setattr(neighbors, "exact_pairs", lambda *a: seen.append(whole(*a)) or seen[-1])
+    got = nearest(frame(spark, points, "query_id"), frame(spark, points, "reference_id"), 3, chunk_rows=100).collect()
+    asked, held = seen[0]
+    assert asked.count() <= 16 and held.count() <= 12 * 4
+    assert {(r["query_id"], r["reference_id"]) for r in got} == {(i, i // 500 * 500 + j) for i in range(2000) for j in range(3)}
+    assert len(got) == 6000
+
+
+def test_planning_takes_no_room_for_all_cells():
+    """A query looks at the cells near it: no number is kept for every pair of a query and a cell."""
+    points = np.random.default_rng(5).uniform(size=(4096, 2))
+    index = CellIndex.of(points, "euclidean", 2.0)
+    cell, far = index.place(points)
+    facts = [{"cell": c, "n": int((cell == c).sum()), "lo": far[cell == c].min(), "hi": far[cell == c].max(), "near": np.sort(far[cell == c])[:1]} for c in np.unique(cell)]
+    index.summarise(facts, 1, 1)
+    tracemalloc.start()
+    index.visits(points[:2000], 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2000 * 4096 * 8 / 4
