@@ -166,3 +166,36 @@ def test_the_neighbour_stage_ranks_as_all_distances_do():
         with np.errstate(invalid="ignore"):
             want = np.argsort(distances(rows, known, "euclidean"), axis=1, kind="stable")[:, :3]
         assert (_ranked_places(rows, known, 3, "euclidean") == want).all()
+
+
+def test_perceptron_works_out_its_rows_once(spark, noisy):
+    """However many steps there are, the rows handed over are computed for writing both shares, and no more."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    counting = F.udf(counted, "long").asNondeterministic()
+    rows = noisy.select(counting("flow_id").alias("flow_id"), "features", "target")
+    models.fit_perceptron(rows, 2, "flow_id", epochs=20, hidden=[4])
+    assert 0 < seen.value <= 4 * 240
+
+
+def test_boosters_of_many_rows_are_fitted_one_after_the_other(noisy, monkeypatch):
+    """Side by side each would hold all rows in memory; the models are the same."""
+    used = []
+
+    class Seen(models.OneVsRest):
+        def fit(self, rows):
+            used.append(self.getParallelism())
+            return super().fit(rows)
+
+    monkeypatch.setattr(models, "OneVsRest", Seen)
+    together = models.fit_boosted(noisy, "flow_id", 2)
+    monkeypatch.setattr(models, "BOOSTED_ROWS_AT_ONCE", 100, raising=False)
+    apart = models.fit_boosted(noisy, "flow_id", 2)
+    assert used == [4, 1]
+    for one, other in zip(apart.models, together.models, strict=True):
+        trees = [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in (one, other)]
+        assert trees[0] == trees[1] and one.treeWeights == other.treeWeights
