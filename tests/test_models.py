@@ -199,3 +199,80 @@ def test_boosters_of_many_rows_are_fitted_one_after_the_other(noisy, monkeypatch
     for one, other in zip(apart.models, together.models, strict=True):
         trees = [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in (one, other)]
         assert trees[0] == trees[1] and one.treeWeights == other.treeWeights
+
+
+def _references(spark, n, seed=11):
+    """Rows on a coarse grid, so that many are equally near, with ids that come twice and numbers that are not."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    draw = np.random.default_rng(seed)
+    points = draw.integers(-3, 4, (n, 3)).astype(float)
+    points[::17, 1], points[5::29, 0] = np.nan, np.inf
+    rows = [(int(i) // 2 if i % 10 == 1 else int(i), Vectors.dense(p), int(c)) for i, p, c in zip(draw.permutation(n), points, draw.integers(0, 3, n))]
+    return spark.createDataFrame(rows, ["flow_id", "features", "target"])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_references_in_a_table_vote_as_held_ones_do(spark, tmp_path, monkeypatch, metric):
+    """Beyond the number that tasks hold, the votes stay those of all references: ties, copies, rows without a distance."""
+    from flowtide.operators import stages
+
+    references = _references(spark, 400)
+    asked = _references(spark, 150, 12).select("features", (F.col("target") > 0).alias("ask")).withColumn("n", F.monotonically_increasing_id())
+    for when in ("", "ask"):
+        held = stages.NeighbourStage(3, metric, "features", "vote", when).remember(references, "flow_id")
+        monkeypatch.setattr(stages, "MAX_REFERENCES", 50)
+        listed = stages.NeighbourStage(3, metric, "features", "vote", when).remember(references, "flow_id")
+        assert held.table is None and listed.table is not None
+        want = sorted((r["n"], r["vote"]) for r in held.transform(asked).collect())
+        assert sorted((r["n"], r["vote"]) for r in listed.transform(asked).collect()) == want
+        listed.write().overwrite().save(str(tmp_path / metric))
+        again = stages.NeighbourStage.load(str(tmp_path / metric))
+        assert again.table is not None and sorted((r["n"], r["vote"]) for r in again.transform(asked).collect()) == want
+        assert listed.transform(asked).columns == held.transform(asked).columns
+        monkeypatch.undo()
+
+
+def test_no_reference_is_left_out(spark):
+    """More references than a stage once held: every one finds itself."""
+    from flowtide.operators.stages import NeighbourStage
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(21_000).select(
+        F.col("id").alias("flow_id"), array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("features"), (F.col("id") % 7).cast("int").alias("target"))
+    stage = NeighbourStage(1).remember(rows, "flow_id")
+    assert len(stage.labels) == 21_000
+    assert stage.transform(rows.where("flow_id % 3 = 0")).where("knn <> target").count() == 0
+
+
+def test_a_cascade_of_many_references_answers_alike_in_all_queries(spark, tmp_path, monkeypatch):
+    """With the references in a table: the same documents as with held ones, from the table and from the stream, which
+    leaves no other table than its answers."""
+    import os
+
+    from flowtide.operators import stages
+    from flowtide.plans import model_queries
+    from flowtide.session import shared_folder
+
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("view", "error", "signup", "purchase", "click")]), (F.col("id") % 5 + 1).cast("int"))
+    events = spark.range(1500).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") * 7 % 90).alias("user_id"), kind.alias("event_type"),
+        F.round(F.pmod(F.xxhash64("id"), F.lit(997)) / 10.0, 1).alias("value"), F.concat(F.lit('{"k": '), F.pmod(F.xxhash64("id"), F.lit(50)).cast("string"), F.lit("}")).alias("props"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for name, value in (("FOREST", {"numTrees": 3, "maxDepth": 3}), ("ROUNDS", 1), ("EPOCHS", 5)):
+        monkeypatch.setattr(model_queries, name, value)
+
+    def answers(df):
+        return sorted(map(repr, df.select(sorted(df.columns)).collect()))
+
+    held = answers(model_queries.cascade(spark, str(tmp_path)))
+    rules = answers(model_queries.mitigation_from_cascade(spark, str(tmp_path)))
+    monkeypatch.setattr(stages, "MAX_REFERENCES", 300)
+    prepared, fitted = model_queries._cascade(spark, str(tmp_path))
+    assert fitted.classifier.stages[-1].table is not None and fitted.memory.table is not None
+    assert answers(model_queries.cascade(spark, str(tmp_path))) == held
+    assert answers(model_queries.mitigation_from_cascade(spark, str(tmp_path))) == rules
+    before = {x for x in os.listdir(shared_folder(spark)) if x.startswith(("asked", "votes", "visits", "voted"))}
+    assert answers(model_queries.stream_cascade(spark, str(tmp_path))) == held
+    assert {x for x in os.listdir(shared_folder(spark)) if x.startswith(("asked", "votes", "visits", "voted"))} == before
