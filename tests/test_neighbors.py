@@ -169,3 +169,56 @@ def test_planning_takes_no_room_for_all_cells():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2000 * 4096 * 8 / 4
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev"])
+@pytest.mark.parametrize("kind", ["plain", "whole numbers", "one flat column", "far from zero", "not finite"])
+def test_bounds_without_structure_lose_no_neighbour(monkeypatch, metric, kind):
+    """Where boxes rule out little the screen sees the first references only, and the answers are those of all distances."""
+    rng = np.random.default_rng(14)
+    some, others = rng.normal(size=(400, 24)), rng.normal(size=(6500, 24))
+    if kind == "whole numbers":
+        some, others = some.round(0), others.round(0)
+    elif kind == "one flat column":
+        some[:, 3], others[:, 3] = 0.0, 0.0
+    elif kind == "far from zero":
+        some, others = some * 1e-3 + 1e6, others * 1e-3 + 1e6
+    elif kind == "not finite":
+        some[::9, 0], others[::70, 2] = np.inf, np.nan
+    seen, whole = [0], neighbors._Screen.near
+
+    def near(self, rows, columns):
+        found = whole(self, rows, columns)
+        seen[0] += found.size
+        return found
+
+    monkeypatch.setattr(neighbors._Screen, "near", near)
+    ids = rng.integers(0, 900, 400), np.sort(rng.integers(0, 900, 6500))
+    for own in (None, ids):
+        with np.errstate(invalid="ignore"):
+            d = distances(some, others, metric)
+        if own is not None:
+            d[own[0][:, None] == own[1][None, :]] = np.inf
+        within = None if own is not None else np.sort(np.where(np.isnan(d), np.inf, d), axis=1)[:, 5]
+        want = [(i, int(j), row[j]) for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:4] if np.isfinite(row[j])]
+        seen[0] = 0
+        assert list(zip(*(x.tolist() for x in nearest_places(some, others, 4, metric, 2.0, own, within)))) == want
+        if kind != "whole numbers":  # so many are equally near that the grid itself is not used
+            assert seen[0] < 0.6 * 400 * 6500
+
+
+def test_waves_lie_below_every_gap():
+    gap = np.linspace(0, 40, 400_001)[1:]
+    assert (sum(a * (1 - np.cos(w * gap)) for a, w in neighbors._WAVES) <= gap).all()
+    assert gap[-1] > 2 * sum(a for a, _ in neighbors._WAVES)
+
+
+def test_visits_of_one_block_of_a_file_are_planned_by_many_tasks(spark, monkeypatch):
+    """A table in one partition would have all its visits planned by one task."""
+    points = np.random.default_rng(9).normal(size=(25_000, 2))
+    rows = frame(spark, points, "query_id").coalesce(1)
+    left, right = _sides(rows, frame(spark, points[:50], "reference_id"), "query_id", "reference_id", "embedding", False)
+    seen, whole = [], neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df, name: seen.append((name, df.rdd.getNumPartitions())) or whole(df, name))
+    exact_pairs(left, right, "euclidean", 2.0, 2, None, 100)
+    assert dict(seen)["visits"] == 3
