@@ -267,12 +267,45 @@ def test_a_cascade_of_many_references_answers_alike_in_all_queries(spark, tmp_pa
         return sorted(map(repr, df.select(sorted(df.columns)).collect()))
 
     held = answers(model_queries.cascade(spark, str(tmp_path)))
-    rules = answers(model_queries.mitigation_from_cascade(spark, str(tmp_path)))
     monkeypatch.setattr(stages, "MAX_REFERENCES", 300)
-    prepared, fitted = model_queries._cascade(spark, str(tmp_path))
-    assert fitted.classifier.stages[-1].table is not None and fitted.memory.table is not None
+    fits, whole = [], model_queries._cascade
+    monkeypatch.setattr(model_queries, "_cascade", lambda *a: fits[0] if fits else fits.append(whole(*a)) or fits[0])
     assert answers(model_queries.cascade(spark, str(tmp_path))) == held
-    assert answers(model_queries.mitigation_from_cascade(spark, str(tmp_path))) == rules
+    assert fits[0][1].classifier.stages[-1].table is not None and fits[0][1].memory.table is not None
     before = {x for x in os.listdir(shared_folder(spark)) if x.startswith(("asked", "votes", "visits", "voted"))}
     assert answers(model_queries.stream_cascade(spark, str(tmp_path))) == held
     assert {x for x in os.listdir(shared_folder(spark)) if x.startswith(("asked", "votes", "visits", "voted"))} == before
+
+
+def test_the_perceptron_of_many_rows_has_the_loss_and_gradient_of_spark(spark, noisy):
+    """The weights are laid out as Spark has them, the loss is its evaluator's, the gradient that of the loss."""
+    import numpy as np
+
+    from flowtide.operators import perceptron
+
+    model = models._perceptron([8, 5, 4, 2], 3).fit(noisy)
+    weights, layers, table = model.weights.toArray(), [8, 5, 4, 2], perceptron.blocks(noisy)
+    spark_loss = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss").evaluate(model.transform(noisy))
+    loss, gradient = perceptron.mean_loss(table, weights, layers)
+    assert loss == pytest.approx(spark_loss, rel=1e-5) and perceptron.log_loss(table, weights, layers) == pytest.approx(spark_loss, rel=1e-5)
+    x = np.random.default_rng(2).normal(size=(50, 8))
+    y = (x[:, 0] > 0).astype(int)
+    exact = perceptron.loss_and_gradient(x, y, weights, layers)[1]
+    for i in range(0, len(weights), 7):
+        moved = np.zeros(len(weights))
+        moved[i] = 1e-5
+        up, down = (perceptron.loss_and_gradient(x, y, weights + m, layers)[0] for m in (moved, -moved))
+        assert (up - down) / 2e-5 == pytest.approx(exact[i], rel=1e-4, abs=1e-6)
+
+
+def test_the_perceptron_of_many_rows_trains_as_spark_does(noisy, monkeypatch):
+    """The same first weights, epochs and stopping rule; the loss after the last step is no worse than that of Spark ML."""
+    _, want = models.fit_perceptron_stopped(noisy, noisy, 2, epochs=15, hidden=[6])
+    monkeypatch.setattr(models, "MLP_ROWS", 100)
+    seen, whole = [], models.perceptron.mean_loss
+    monkeypatch.setattr(models.perceptron, "mean_loss", lambda *a: seen.append(whole(*a)) or seen[-1])
+    model, got = models.fit_perceptron_stopped(noisy, noisy, 2, epochs=15, hidden=[6])
+    assert [e for e, _ in got] == [e for e, _ in want] and len(seen) >= 15
+    assert got[-1][1] <= 1.05 * want[-1][1] and got[-1][1] < got[0][1]
+    lowest = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss").evaluate(model.transform(noisy))
+    assert lowest == pytest.approx(min(loss for _, loss in got), rel=1e-4)
