@@ -309,3 +309,15 @@ def test_the_perceptron_of_many_rows_trains_as_spark_does(noisy, monkeypatch):
     assert got[-1][1] <= 1.05 * want[-1][1] and got[-1][1] < got[0][1]
     lowest = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss").evaluate(model.transform(noisy))
     assert lowest == pytest.approx(min(loss for _, loss in got), rel=1e-4)
+
+
+def test_the_perceptron_of_many_rows_refuses_what_spark_refuses(spark, noisy):
+    """Rows with a number that is not one would leave it untrained without a word."""
+    from pyspark.errors import PythonException
+    from pyspark.ml.linalg import Vectors
+
+    from flowtide.operators import perceptron
+
+    odd = spark.createDataFrame([(1, Vectors.dense([float("nan")] * 8), 0)], ["flow_id", "features", "target"])
+    with pytest.raises(PythonException, match="finite"):
+        perceptron.blocks(noisy.unionByName(odd))
